@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_id, line_dedup, mixing, packing, toxicity
+from . import lang_id, line_dedup, mixing, near_dedup, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (lang_id.op1_language_id, mixing.op3_source_mixing, line_dedup.op4_line_dedup, packing.op5_packing, toxicity.op8_toxicity)
+    for f in (lang_id.op1_language_id, mixing.op3_source_mixing, line_dedup.op4_line_dedup, packing.op5_packing, near_dedup.op7_minhash_near_dedup, toxicity.op8_toxicity)
 }
 
 ORACLES: dict[str, str] = {
