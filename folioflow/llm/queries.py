@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, lang_id, line_dedup, mixing, near_dedup, packing, toxicity
+from . import ann, lang_id, line_dedup, lm_score, mixing, near_dedup, packing, token_count, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (lang_id.op1_language_id, mixing.op3_source_mixing, line_dedup.op4_line_dedup, packing.op5_packing, ann.op6_one_bit_neighbours, near_dedup.op7_minhash_near_dedup, toxicity.op8_toxicity)
+    for f in (lang_id.op1_language_id, lm_score.op2_lm_score, mixing.op3_source_mixing, line_dedup.op4_line_dedup, packing.op5_packing, ann.op6_one_bit_neighbours, near_dedup.op7_minhash_near_dedup, toxicity.op8_toxicity, token_count.op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {
