@@ -224,12 +224,12 @@ def fit(docs: DataFrame, held_out, per_class: int = 600, max_rows: int = 4000, m
     return train(rows, df, documents)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """docs(text, keep...) -> keep..., lang_pred, score."""
+def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs(text, keep...) -> keep..., lang_pred, score (or other names, where kept columns have these)."""
     from pyspark.sql import types as T
 
     small = Model(model.classes, model.weights.astype(np.float32), model.bias.astype(np.float32), model.idf.astype(np.float32), model.temperature)
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def make():
         grams = Grams(len(small.idf))
@@ -237,7 +237,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         def run(batches):
             for b in batches:
                 found = [small.predict(grams(t.as_py())) for t in b.column(0)]
-                yield pa.record_batch([*(b.column(i + 1) for i in range(len(keep))), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*keep, "lang_pred", "score"])
+                yield pa.record_batch([*(b.column(i + 1) for i in range(len(keep))), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*keep, *names])
 
         return run
 
@@ -252,8 +252,8 @@ def held_out(divisor: int = 4, rest: int = 2):
 def keep_known(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
     """docs without those whose language can't be told: no letter, or a calibrated probability under `least`."""
     model = fit(docs, held_out(), **options)
-    found = predict(docs, model, docs.columns)
-    rejected = (F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)
+    found = predict(docs, model, docs.columns, ("__lang_pred", "__score"))
+    rejected = (F.col("__lang_pred") == UNKNOWN) | (F.col("__score") < least)
     return found.filter(~rejected).select(*docs.columns)
 
 

@@ -119,18 +119,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 
 def repeat_texts(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: docs' rows repeated whole, and a first part of the text for the fraction; docs' columns."""
-    columns = docs.columns
-    mixed = mix(docs, keep=columns, **options)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    mixed = mix(docs.select("doc_id", "text", "source", row), keep=["text", "__row"], **options)
     part = F.col("taken") - F.col("whole") * F.col("size")
     # copies: `whole` full rows and one of `part` words (full again if the fraction is 1)
     lengths = F.concat(F.array_repeat(F.col("size"), F.col("whole").cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
     rows = mixed.withColumn("__length", F.explode(lengths))
     pieces = F.regexp_extract_all(F.col("text"), F.lit(rf"[{common.BLANK_SET}]*{WORD}"), F.lit(0))
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("__length").cast("int")), "")
-    rows = rows.withColumn("text", F.when(F.col("__length") >= F.col("size"), F.col("text")).otherwise(cut))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*columns)
+    text = F.when(F.col("__length") >= F.col("size"), F.col("text")).otherwise(cut)
+    fresh = {"text": text}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[fresh.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -314,8 +314,8 @@ def every_pair(keys: DataFrame, roots: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without all but the first of each component; same columns."""
     found = find(docs, **options)
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
