@@ -11,8 +11,9 @@
    likelihood of the similarity; pairs whose estimate is ``slack`` below the threshold or further are dropped, and so
    are pairs whose sizes alone rule it out. The rest are verified on full sets.
 5. Links make components. Members of one key that are still in different components have not all been compared;
-   comparing goes on with another hub per key, drawn anew, until the pairs left are no more than
-   the texts, and then with every one of them. So no link that banding shows is missed.
+   comparing goes on with another hub per key, drawn anew, while that settles a tenth of the open pairs or more and
+   these are more than the band keys of all texts; then every open pair is compared. So no link that banding shows is
+   missed, and in ordinary data the pairs stay in proportion to the texts.
 
 Full sets are read again from the texts (only texts in some pair), sent to where the hub's set is: a hub's pairs are
 dealt over several groups, so a hub of very many texts is no hot spot, and its pairs stream past it.
@@ -32,9 +33,10 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-REGISTERS, BANDS = 128, 32
+REGISTERS, BANDS = 252, 36
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 SALT_PAIRS = 256
+BLOCK = 1024
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -60,18 +62,21 @@ def shingles(text: str | None, hashes: common.WordHashes, k: int) -> np.ndarray:
 class Sketcher:
     """SetSketch registers of sets of hashes."""
 
+    ROWS = 1024
+
     def __init__(self, m: int = REGISTERS, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.factors = rng.integers(0, 1 << 63, m, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.factors = rng.integers(0, 1 << 31, m, np.uint32) * np.uint32(2) + np.uint32(1)
         self.m = m
 
     def __call__(self, elements: np.ndarray) -> np.ndarray:
-        least = np.empty(self.m, np.uint64)
-        for i, f in enumerate(self.factors):
-            least[i] = (elements * f).min()
+        # 32 bits of each hash, by an odd factor for each register; the smallest product over the set
+        x = (elements ^ (elements >> np.uint64(32))).astype(np.uint32)[:, None]
+        least = np.full(self.m, np.iinfo(np.uint32).max, np.uint32)
+        for at in range(0, len(x), self.ROWS):
+            np.minimum(least, (x[at : at + self.ROWS] * self.factors).min(0), out=least)
         # smallest of uniform hashes -> smallest of exponential ones -> exponentially spaced register
-        u = (least.astype(float) + 0.5) / 2.0**64
-        h = -np.log1p(-u) / RATE
+        h = -np.log1p(-(least.astype(float) + 0.5) / 2.0**32) / RATE
         return np.clip(np.floor(1 - np.log(h) / np.log(BASE)), 0, TOP + 1).astype(np.uint16)
 
 
@@ -228,7 +233,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, per_hundred: int) -> DataF
     return common.map_arrow(laid, "a long, b long", compare)
 
 
-def find(docs: DataFrame, k: int = 5, per_hundred: int = 80, slack: float = 0.14) -> DataFrame:
+def find(docs: DataFrame, k: int = 5, per_hundred: int = 80, slack: float = 0.08) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept: one row a row of docs."""
     docs = docs.select("doc_id", "text")
     threshold = per_hundred / 100
@@ -242,24 +247,25 @@ def find(docs: DataFrame, k: int = 5, per_hundred: int = 80, slack: float = 0.14
 
     edges, tried = None, None
     roots = keys.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("root")).distinct()
-    turn, last = 0, False
+    all_keys = BANDS * sets.count()
+    turn, last, open_pairs = 0, False, None
     while True:
-        pairs = every_pair(keys, roots) if last else hub_pairs(keys, roots, turn)
+        pairs = every_pair(keys, roots, sets, threshold, slack) if last else hub_pairs(keys, roots, turn)
         if tried is not None:
             pairs = pairs.join(tried, ["hub", "doc_id"], "left_anti")
         pairs = common.materialise(pairs.distinct(), "candidates")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = common.materialise(verify(likely(pairs, sets, threshold, slack), texts, k, per_hundred), "links")
+        likely_pairs = pairs if last else likely(pairs, sets, threshold, slack)
+        found = common.materialise(verify(likely_pairs, texts, k, per_hundred), "links")
         edges = found if edges is None else common.materialise(edges.unionByName(found), "links")
         joined = components(edges)
         roots = common.materialise(roots.select("id").join(joined, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "roots")
         if last:
             break
-        open_pairs, members = unsettled(keys, roots)
+        before, open_pairs = open_pairs, unsettled(keys, roots)
         if not open_pairs:
             break
-        # few enough to compare each: no more than the rows of the keys; otherwise another hub first
-        turn, last = turn + 1, open_pairs <= members
+        turn, last = turn + 1, open_pairs <= all_keys or before is not None and open_pairs > 0.9 * before
     # classes back to documents, components named by their smallest document
     top = rows.join(
         one.select("doc_id", "d1", "d2").join(sets_digest(one), ["d1", "d2"]).select("doc_id", "first"), "doc_id", "left"
@@ -288,27 +294,81 @@ def hub_pairs(keys: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("hub", "doc_id").alias("hub"), F.greatest("hub", "doc_id").alias("doc_id"))
 
 
-def unsettled(keys: DataFrame, roots: DataFrame) -> tuple[int, int]:
-    """Pairs of members of one key in different components, and rows of keys."""
+def unsettled(keys: DataFrame, roots: DataFrame) -> int:
+    """Pairs of members of one key in different components; a pair counts once for each key."""
     now = keys.join(roots, keys["doc_id"] == roots["id"]).groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     by_key = now.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-    got = by_key.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
-    return int(got[0] or 0), int(got[1] or 0)
+    return int(by_key.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0)
+
 
+def every_pair(keys: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float, slack: float) -> DataFrame:
+    """Pairs of members of one key in different components whose joint estimate may reach the threshold.
 
-def every_pair(keys: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs of members of one key in different components; their number was checked before."""
+    All such pairs of a key are estimated, in blocks of its members: a key of m members is m / BLOCK blocks, each pair of
+    blocks is one piece of work, and only what passes is emitted.
+    """
     now = keys.join(roots, keys["doc_id"] == roots["id"]).select("key", "doc_id", "root")
-    # only keys with more than one component; a component's members are met by the others' through the key
-    mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter(F.col("lo") != F.col("hi")).select("key")
-    now = now.join(mixed, "key", "left_semi")
-    groups = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    other = groups.select("key", F.col("root").alias("other"))
-    # each member with each other component of its key (larger root), then with that component's members
-    towards = now.join(other, "key").filter(F.col("root") < F.col("other"))
-    right = now.select("key", F.col("root").alias("other"), F.col("doc_id").alias("with"))
-    pairs = towards.join(right, ["key", "other"])
-    return pairs.select(F.least("doc_id", "with").alias("hub"), F.greatest("doc_id", "with").alias("doc_id"))
+    sizes = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"))
+    mixed = sizes.filter(F.col("lo") != F.col("hi")).select("key", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    members = now.join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    # each block meets itself and every other once: the pair is named by the smaller and the larger
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = members.withColumn("other", other).select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "root")
+    laid = dealt.join(sets.select("doc_id", "n", "registers"), "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "mine")
+    laid = laid.select("key", "i", "j", "mine", "doc_id", "root", "n", "registers")
+
+    def make():
+        def compare(rows):
+            ids, root, n, mine = (np.concatenate([r[c] for r in rows]) for c in range(4))
+            regs = np.concatenate([r[4] for r in rows])
+            left = np.flatnonzero(mine == mine.min())
+            right = np.flatnonzero(mine == mine.max())
+            for lo in range(0, len(left), 32):
+                a = left[lo : lo + 32]
+                for ro in range(0, len(right), 512):
+                    b = right[ro : ro + 512]
+                    open_pair = root[a][:, None] != root[b]
+                    open_pair &= np.minimum(n[a][:, None], n[b]) >= threshold * np.maximum(n[a][:, None], n[b])
+                    if len(left) == len(right) and left[0] == right[0]:
+                        open_pair &= a[:, None] < b
+                    x, y = np.nonzero(open_pair)
+                    if not len(x):
+                        continue
+                    # equal registers are a quick upper guide; the likelihood decides
+                    same = (regs[a[x]] == regs[b[y]]).sum(1)
+                    some = same >= (threshold - slack - 0.05) * regs.shape[1]
+                    x, y = a[x[some]], b[y[some]]
+                    if len(x):
+                        good = estimate(regs[x], regs[y], n[x], n[y]) >= threshold - slack
+                        yield np.minimum(ids[x], ids[y])[good], np.maximum(ids[x], ids[y])[good]
+
+        def run(batches):
+            now, rows = None, []
+
+            def flush():
+                for hub, doc in compare(rows):
+                    yield pa.record_batch([pa.array(hub), pa.array(doc)], ["hub", "doc_id"])
+
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                key, i, j, mine, ids, root, n = (b.column(c).to_numpy() for c in range(7))
+                regs = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+                cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+                for start, stop in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
+                    name = (key[start], i[start], j[start])
+                    if name != now:
+                        if rows:
+                            yield from flush()
+                        now, rows = name, []
+                    part = slice(start, stop)
+                    rows.append((ids[part], root[part], n[part], mine[part], regs[part]))
+            if rows:
+                yield from flush()
+
+        return run
+
+    return common.map_arrow(laid, "hub long, doc_id long", make)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
