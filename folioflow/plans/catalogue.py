@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from ..operators import blocks, ledger
+from .registry import Query, Registry
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "spend_lines"
 
-FLAGSHIP = "revenue_by_flag"
+ALL = Registry()
+for part in (ledger, blocks):
+    ALL.include(part.R)
 
-
-def revenue_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six measures a group over the ledger-like fact table."""
-    from pyspark.sql import functions as F
-
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return items.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {FLAGSHIP: revenue_by_flag}
-ORACLES: dict[str, str] = {FLAGSHIP: "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL"}
+QUERIES: dict[str, Query] = ALL.queries
+ORACLES: dict[str, str] = ALL.oracles
+ROWS: dict[str, str] = ALL.rows
