@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from ..operators import blocks, ledger
+from ..operators import blocks, ledger, lexical, relations
 from .registry import Query, Registry
 
 FLAGSHIP = "spend_lines"
 
 ALL = Registry()
-for part in (ledger, blocks):
+for part in (ledger, blocks, lexical, relations):
     ALL.include(part.R)
 
 QUERIES: dict[str, Query] = ALL.queries
