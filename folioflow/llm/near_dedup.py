@@ -12,8 +12,8 @@
    are pairs whose sizes alone rule it out. The rest are verified on full sets.
 5. Links make components. Members of one key that are still in different components have not all been compared;
    comparing goes on with another hub per key, drawn anew, while that settles a tenth of the open pairs or more and
-   these are more than the band keys of all texts; then every open pair is compared. So no link that banding shows is
-   missed, and in ordinary data the pairs stay in proportion to the texts.
+   these are more than the band keys of all texts; then every open pair is estimated, once, in blocks, and those that may
+   be similar are verified. So no link that banding shows is missed.
 
 Full sets are read again from the texts (only texts in some pair), sent to where the hub's set is: a hub's pairs are
 dealt over several groups, so a hub of very many texts is no hot spot, and its pairs stream past it.
@@ -85,16 +85,20 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, steps: int = 200) -> np.ndarray:
-    """Similarity of largest likelihood for rows of registers a, b and known set sizes."""
-    larger, smaller = (a > b).sum(1), (a < b).sum(1)
-    equal = a.shape[1] - larger - smaller
+def compare_registers(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row by row, how many registers are larger in a, and how many are larger in b."""
+    return (a > b).sum(1), (a < b).sum(1)
+
+
+def estimate(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, m: int = REGISTERS, steps: int = 200) -> np.ndarray:
+    """Similarity of largest likelihood, given the numbers of larger and smaller registers and the sets' sizes."""
+    equal = m - larger - smaller
     total = (n_a + n_b).astype(float)
     u, v = n_a / total, n_b / total
     p = lambda x: -np.log1p(-np.clip(x, 1e-12, 1) * (BASE - 1) / BASE) / np.log(BASE)
-    best, found = np.full(len(a), -np.inf), np.zeros(len(a))
+    best, found = np.full(len(larger), -np.inf), np.zeros(len(larger))
     for j in np.linspace(0, 1, steps + 1):
-        # x: part of the union that is in a alone
+        # what is in one set alone makes its register larger
         inside = j <= np.minimum(u / v, v / u) + 1e-12
         more, less = p(u - v * j), p(v - u * j)
         same = np.clip(1 - more - less, 1e-12, 1)
@@ -133,20 +137,31 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), SETS, make)
 
 
+class Bander:
+    """Keys of registers: one 64-bit hash of each band."""
+
+    def __init__(self):
+        self.rows = REGISTERS // BANDS
+        self.odd = np.random.default_rng(9).integers(0, 1 << 63, (1, BANDS, self.rows), np.uint64) * np.uint64(2) + np.uint64(1)
+        self.number = np.arange(BANDS, dtype=np.uint64) * _A
+
+    def __call__(self, registers: np.ndarray) -> np.ndarray:
+        r = registers.reshape(-1, BANDS, self.rows).astype(np.uint64)
+        return _scramble((_scramble(r + np.uint64(1)) * self.odd).sum(2, dtype=np.uint64) + self.number).view(np.int64)
+
+
 def band_keys(sets: DataFrame) -> DataFrame:
     """(doc_id, registers) -> (key, doc_id), one row a band."""
 
     def make():
-        rows = REGISTERS // BANDS
-        odd = np.random.default_rng(9).integers(0, 1 << 63, (1, BANDS, rows), np.uint64) * np.uint64(2) + np.uint64(1)
+        keys_of = Bander()
 
         def run(batches):
             for b in batches:
                 if not b.num_rows:
                     continue
-                regs = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, rows).astype(np.uint64)
-                keys = _scramble((_scramble(regs + np.uint64(1)) * odd).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _A)
-                yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], ["key", "doc_id"])
+                keys = keys_of(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16))
+                yield pa.record_batch([pa.array(keys.reshape(-1)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], ["key", "doc_id"])
 
         return run
 
@@ -165,7 +180,7 @@ def likely(pairs: DataFrame, sets: DataFrame, threshold: float, slack: float) ->
                 for at in range(0, b.num_rows, 2000):
                     c = b.slice(at, 2000)
                     regs = [np.frombuffer(b"".join(c.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (4, 5)]
-                    j = estimate(*regs, c.column(2).to_numpy(), c.column(3).to_numpy())
+                    j = estimate(*compare_registers(*regs), c.column(2).to_numpy(), c.column(3).to_numpy())
                     yield c.select(["hub", "doc_id"]).filter(pa.array(j >= threshold - slack))
 
         return run
@@ -318,37 +333,41 @@ def every_pair(keys: DataFrame, roots: DataFrame, sets: DataFrame, threshold: fl
     laid = laid.select("key", "i", "j", "mine", "doc_id", "root", "n", "registers")
 
     def make():
-        def compare(rows):
+        keys_of = Bander()
+        waiting: list[tuple] = []
+
+        def compare(key, rows):
             ids, root, n, mine = (np.concatenate([r[c] for r in rows]) for c in range(4))
             regs = np.concatenate([r[4] for r in rows])
-            left = np.flatnonzero(mine == mine.min())
-            right = np.flatnonzero(mine == mine.max())
+            keys = keys_of(regs)
+            band = int(np.argmax(keys[0] == key))
+            left, right = np.flatnonzero(mine == mine.min()), np.flatnonzero(mine == mine.max())
             for lo in range(0, len(left), 32):
                 a = left[lo : lo + 32]
                 for ro in range(0, len(right), 512):
                     b = right[ro : ro + 512]
                     open_pair = root[a][:, None] != root[b]
                     open_pair &= np.minimum(n[a][:, None], n[b]) >= threshold * np.maximum(n[a][:, None], n[b])
-                    if len(left) == len(right) and left[0] == right[0]:
+                    if mine.min() == mine.max():
                         open_pair &= a[:, None] < b
-                    x, y = np.nonzero(open_pair)
-                    if not len(x):
-                        continue
-                    # equal registers are a quick upper guide; the likelihood decides
-                    same = (regs[a[x]] == regs[b[y]]).sum(1)
-                    some = same >= (threshold - slack - 0.05) * regs.shape[1]
-                    x, y = a[x[some]], b[y[some]]
+                    x, y = (i[k] for i, k in zip((a, b), np.nonzero(open_pair), strict=True))
+                    # a pair is looked at in the first key that it shares
+                    first = ~(keys[x, :band] == keys[y, :band]).any(1)
+                    x, y = x[first], y[first]
+                    larger, smaller = compare_registers(regs[x], regs[y])
+                    some = larger + smaller <= (1 - threshold + slack + 0.05) * REGISTERS
+                    x, y = x[some], y[some]
                     if len(x):
-                        good = estimate(regs[x], regs[y], n[x], n[y]) >= threshold - slack
-                        yield np.minimum(ids[x], ids[y])[good], np.maximum(ids[x], ids[y])[good]
+                        waiting.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), larger[some], smaller[some], n[x], n[y]))
+
+        def decide():
+            hub, doc, larger, smaller, n_a, n_b = (np.concatenate(c) for c in zip(*waiting, strict=True))
+            waiting.clear()
+            good = estimate(larger, smaller, n_a, n_b) >= threshold - slack
+            return pa.record_batch([pa.array(hub[good]), pa.array(doc[good])], ["hub", "doc_id"])
 
         def run(batches):
             now, rows = None, []
-
-            def flush():
-                for hub, doc in compare(rows):
-                    yield pa.record_batch([pa.array(hub), pa.array(doc)], ["hub", "doc_id"])
-
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -359,12 +378,16 @@ def every_pair(keys: DataFrame, roots: DataFrame, sets: DataFrame, threshold: fl
                     name = (key[start], i[start], j[start])
                     if name != now:
                         if rows:
-                            yield from flush()
+                            compare(now[0], rows)
                         now, rows = name, []
+                        if len(waiting) >= 2000 or waiting and len(waiting[-1][0]) >= 1000:
+                            yield decide()
                     part = slice(start, stop)
                     rows.append((ids[part], root[part], n[part], mine[part], regs[part]))
             if rows:
-                yield from flush()
+                compare(now[0], rows)
+            if waiting:
+                yield decide()
 
         return run
 

@@ -253,9 +253,10 @@ def test_setsketch_merge_and_estimate():
     x = rng.integers(0, 1 << 64, 4000, np.uint64)
     a, b = x[:3000], x[1000:]
     assert (near_dedup.merge(sketch(a), sketch(b)) == sketch(x)).all()
-    j = near_dedup.estimate(sketch(a)[None], sketch(b)[None], np.array([3000]), np.array([3000]))
+    size = np.array([3000])
+    j = near_dedup.estimate(*near_dedup.compare_registers(sketch(a)[None], sketch(b)[None]), size, size)
     assert abs(j[0] - 0.5) < 0.15
-    assert near_dedup.estimate(sketch(a)[None], sketch(a)[None], np.array([3000]), np.array([3000]))[0] == 1
+    assert near_dedup.estimate(np.array([0]), np.array([0]), size, size)[0] == 1
 
 
 def test_near_dedup_chain_of_hubs(spark):
