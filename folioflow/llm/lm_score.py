@@ -135,10 +135,34 @@ def hashed(words: list[list[bytes]], hashes: common.WordHashes) -> tuple[np.ndar
     return out, starts
 
 
-def score_chunk(h: np.ndarray, starts: np.ndarray, values: np.ndarray, totals: np.ndarray) -> np.ndarray:
+def own_counts(i: np.ndarray) -> np.ndarray:
+    """How often each element occurs."""
+    order = np.argsort(i)
+    y = i[order]
+    first = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]])) if len(y) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(y)))
+    out = np.empty(len(i), np.int64)
+    out[order] = np.repeat(n, n)
+    return out
+
+
+def numbered(grams: tuple[np.ndarray, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """distinct_sorted's values, and the number of each n-gram among them; one sort instead of a search for each."""
+    x = np.concatenate([*grams, [NOTHING]])
+    order = np.argsort(x)
+    y = x[order]
+    fresh = np.concatenate([[True], y[1:] != y[:-1]])
+    values = y[fresh]
+    place = np.empty(len(x), np.int32)
+    place[order] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+    if values[0] == 0:  # no n-gram
+        values = values[1:]
+        place -= 1
+    return values, np.split(place[:-1], len(grams))
+
+
+def score_chunk(starts: np.ndarray, values: np.ndarray, at: list[np.ndarray], totals: np.ndarray) -> np.ndarray:
     """Sum of ln S of each document, given the total of each distinct hash of the chunk."""
-    grams = gram_hashes(h, starts[:-1])
-    at = [np.searchsorted(values, g) for g in grams]
     whole = float(totals[np.searchsorted(values, NOTHING)])
     out = np.zeros(len(starts) - 1)
     for d, (a, z) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
@@ -148,9 +172,8 @@ def score_chunk(h: np.ndarray, starts: np.ndarray, values: np.ndarray, totals: n
         c = []
         for order in range(3):
             i = at[order][a + order : z] if n > order else np.zeros(0, np.int64)
-            _, inverse, own = np.unique(i, return_inverse=True, return_counts=True)
             rest = np.zeros(n)
-            rest[order:] = totals[i] - own[inverse]
+            rest[order:] = totals[i] - own_counts(i)
             c.append(rest)
         c1, c2, c3 = c
         size = whole - n
@@ -235,12 +258,12 @@ def score(docs: DataFrame, chunk_words: int = CHUNK_WORDS, bucket_entries: int =
         def finish(docs, totals):
             ids, texts = pickle.loads(codec.unpack(docs))
             h, starts = hashed([common.words_of(t) for t in texts], hashes)
-            values, _ = distinct_sorted(gram_hashes(h, starts[:-1]))
+            values, at = numbered(gram_hashes(h, starts[:-1]))
             totals = np.concatenate(totals)
             if len(totals) != len(values):
                 raise RuntimeError("the documents came in other partitions when read again")
             n = np.diff(starts)
-            logs = score_chunk(h, starts, values, totals)
+            logs = score_chunk(starts, values, at, totals)
             mean = [float(s / k) if k else None for s, k in zip(logs, n, strict=True)]
             return pa.record_batch([pa.array(ids, pa.int64()), pa.array(n), pa.array(logs), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_score", "mean_log_score"])
 
