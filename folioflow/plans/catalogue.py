@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from ..operators import blocks, ledger, lexical, relations
+from ..operators import blocks, ledger, levels, lexical, relations, vectors
 from .registry import Query, Registry
 
 FLAGSHIP = "spend_lines"
 
 ALL = Registry()
-for part in (ledger, blocks, lexical, relations):
+for part in (ledger, blocks, lexical, relations, levels, vectors):
     ALL.include(part.R)
 
 QUERIES: dict[str, Query] = ALL.queries
