@@ -70,12 +70,11 @@ def warning_severity(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.try_element_at(known, "event_type"), F.lit("warning")).alias("severity"))
 
 
-@R.query("ING-07 ING-13 STR-13", rf"WITH {BLOCKS} SELECT doc_id, pos, regexp_matches(lower(text), '^\[?(pg|page)? ?([0-9]+|[ivxlc]+)\]?$') AS page_line, regexp_matches(lower(text), '^((chapter|part|book) )?([0-9]+|[ivxlc]+)([. ].*)?$') AS numbered FROM blocks WHERE length(text) < 60")
+@R.query("ING-07 ING-13 STR-13", rf"WITH {BLOCKS} SELECT doc_id, pos, regexp_matches(lower(text), '^\[?(pg|page)? ?([0-9]+|[ivxlc]+)\]?$') AS page_line, regexp_matches(lower(text), '^((chapter|part|book) )?([0-9]+|[ivxlc]+)([. ].*)?$') AS numbered FROM blocks")
 def line_predicates(spark, sf_dir):
     """Lines that are page numbers, and titles that start with a number."""
     t = F.lower("text")
-    short = blocks(spark, sf_dir).filter(F.length("text") < 60)
-    return short.select("doc_id", "pos", t.rlike(r"^\[?(pg|page)? ?([0-9]+|[ivxlc]+)\]?$").alias("page_line"), t.rlike(r"^((chapter|part|book) )?([0-9]+|[ivxlc]+)([. ].*)?$").alias("numbered"))
+    return blocks(spark, sf_dir).select("doc_id", "pos", t.rlike(r"^\[?(pg|page)? ?([0-9]+|[ivxlc]+)\]?$").alias("page_line"), t.rlike(r"^((chapter|part|book) )?([0-9]+|[ivxlc]+)([. ].*)?$").alias("numbered"))
 
 
 @R.query("ING-12", rf"WITH {BLOCKS} SELECT doc_id, pos, text FROM blocks WHERE kind = 'heading' QUALIFY count(*) OVER (PARTITION BY doc_id, lower(text)) < 3")
@@ -160,10 +159,10 @@ def odd_characters(spark, sf_dir):
     return b.select("doc_id", "pos", F.posexplode(F.split("text", "")).alias("place", "ch")).filter(F.col("ch").rlike(odd))
 
 
-@R.query("TXT-17 MAP-02", f"WITH {BLOCKS} SELECT doc_id, pos, sha256(concat_ws(chr(0), CAST(doc_id AS VARCHAR), 'marker', 'None', CAST(length(text) AS VARCHAR), left(text, 20), '')) AS fingerprint FROM blocks WHERE length(text) < 60")
+@R.query("TXT-17 MAP-02", f"WITH {BLOCKS} SELECT doc_id, pos, sha256(concat_ws(chr(0), CAST(doc_id AS VARCHAR), 'marker', 'None', CAST(length(text) AS VARCHAR), left(text, 20), '')) AS fingerprint FROM blocks")
 def finding_fingerprint(spark, sf_dir):
     parts = [F.col("doc_id").cast("string"), F.lit("marker"), F.coalesce(F.lit(None).cast("string"), F.lit("None")), F.length("text").cast("string"), F.substring("text", 1, 20), F.lit("")]
-    return blocks(spark, sf_dir).filter(F.length("text") < 60).select("doc_id", "pos", F.sha2(F.concat_ws("\0", *parts), 256).alias("fingerprint"))
+    return blocks(spark, sf_dir).select("doc_id", "pos", F.sha2(F.concat_ws("\0", *parts), 256).alias("fingerprint"))
 
 
 @R.query("TXT-01", f"WITH {BLOCKS}, s AS (SELECT doc_id, pos, unnest(string_split_regex(regexp_replace(text, '([.!?…]) +', '\\1' || chr(1), 'g'), chr(1))) AS sentence FROM blocks) SELECT doc_id, pos, count(*) AS sentences, max(length(sentence)) AS longest FROM s WHERE sentence <> '' GROUP BY doc_id, pos")

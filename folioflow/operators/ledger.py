@@ -307,12 +307,12 @@ def uncertain_regions(spark, sf_dir):
     return g.filter("unsure").groupBy("account", "region").agg(F.count(F.lit(1)).alias("members"), F.min("call_id").alias("first_call"), F.max("call_id").alias("last_call"))
 
 
-@R.query("SET-01", f"""WITH {LEDGER} SELECT 'call' AS kind, ts AS at, purpose AS label, CAST(cost AS DOUBLE) AS usd FROM ledger WHERE account = 7
-UNION ALL SELECT 'step', o_orderdate, o_orderpriority, NULL FROM orders WHERE o_custkey = 7""")
+@R.query("SET-01", f"""WITH {LEDGER} SELECT 'call' AS kind, ts AS at, purpose AS label, CAST(cost AS DOUBLE) AS usd FROM ledger
+UNION ALL SELECT 'step', o_orderdate, o_orderpriority, NULL FROM orders""")
 def union_timeline(spark, sf_dir):
     """Two feeds of unlike columns as one timeline."""
-    calls = ledger(spark, sf_dir).filter("account = 7").select(F.lit("call").alias("kind"), F.col("ts").alias("at"), F.col("purpose").alias("label"), F.col("cost").cast("double").alias("usd"))
-    steps = table(spark, sf_dir, "orders").filter("o_custkey = 7").select(F.lit("step").alias("kind"), F.col("o_orderdate").alias("at"), F.col("o_orderpriority").alias("label"))
+    calls = ledger(spark, sf_dir).select(F.lit("call").alias("kind"), F.col("ts").alias("at"), F.col("purpose").alias("label"), F.col("cost").cast("double").alias("usd"))
+    steps = table(spark, sf_dir, "orders").select(F.lit("step").alias("kind"), F.col("o_orderdate").alias("at"), F.col("o_orderpriority").alias("label"))
     return calls.unionByName(steps, allowMissingColumns=True)
 
 
@@ -337,12 +337,12 @@ def review_groups(spark, sf_dir):
     return g.orderBy(F.desc("items"), "code")
 
 
-@R.query("ORD-01 AGG-32", f"""WITH {LEDGER} SELECT purpose, call_id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY purpose ORDER BY CASE WHEN model % 7 = 0 THEN NULL ELSE model END ASC NULLS LAST, account, call_id) AS place FROM ledger) WHERE place <= 5""")
+@R.query("ORD-01 AGG-32", f"""WITH {LEDGER} SELECT purpose, call_id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY purpose ORDER BY CASE WHEN model % 7 = 0 THEN NULL ELSE model END ASC NULLS LAST, account, call_id) AS place FROM ledger)""")
 def review_order(spark, sf_dir):
     """In a group the lowest confidence first, unknown last."""
     c = F.when(F.col("model") % 7 != 0, F.col("model"))
     place = F.row_number().over(W.partitionBy("purpose").orderBy(c.asc_nulls_last(), "account", "call_id"))
-    return ledger(spark, sf_dir).withColumn("place", place).filter("place <= 5").select("purpose", "call_id", "place")
+    return ledger(spark, sf_dir).withColumn("place", place).select("purpose", "call_id", "place")
 
 
 @R.query("AGG-33 ARR-02", f"""WITH {LEDGER}, v AS (SELECT call_id, unnest(list_filter([CASE WHEN model > 80 THEN 'large' END, CASE WHEN account < 20 THEN 'new' END, CASE WHEN NOT ok THEN 'failed' END], lambda x: x IS NOT NULL)) AS reason FROM ledger)

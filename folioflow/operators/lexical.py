@@ -29,9 +29,15 @@ def tokens(b: DataFrame) -> DataFrame:
     return t.withColumn("lemma", F.lower("word"))
 
 
-def zipf_table(t: DataFrame) -> DataFrame:
-    """(lang, lemma, zipf): counts first, so that only one row a word meets the language's total."""
-    counts = t.groupBy("lang", "lemma").agg(F.count(F.lit(1)).alias("n"))
+def by_document(t: DataFrame, *more) -> DataFrame:
+    """(doc_id, lang, lemma, n, ...): tokens counted in each document."""
+    return t.groupBy("doc_id", "lang", "lemma").agg(F.count(F.lit(1)).alias("n"), *more)
+
+
+def zipf_table(counted: DataFrame) -> DataFrame:
+    """(lang, lemma, zipf) from rows with n: counts first, so that only one row a word meets the language's total. Given counts by
+    document that a query also uses itself, both share one shuffle."""
+    counts = counted.groupBy("lang", "lemma").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     return counts.join(totals, "lang").select("lang", "lemma", F.log10(F.lit(1e9) * F.col("n") / F.col("total")).alias("zipf"))
 
@@ -43,7 +49,7 @@ def token_counts(spark, sf_dir):
 
 @R.query("TXT-04 UDF-01", f"WITH {TOKENS} SELECT lang, lemma, round(zipf, 6) AS zipf FROM zipf")
 def word_frequency(spark, sf_dir):
-    return zipf_table(tokens(blocks(spark, sf_dir))).select("lang", "lemma", F.round("zipf", 6).alias("zipf"))
+    return zipf_table(by_document(tokens(blocks(spark, sf_dir)))).select("lang", "lemma", F.round("zipf", 6).alias("zipf"))
 
 
 @R.query("TXT-07 TXT-05", f"""WITH {TOKENS}, l AS (SELECT doc_id, lang, lemma, count(*) AS n FROM tokens GROUP BY ALL)
@@ -53,8 +59,8 @@ SELECT doc_id, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS lemmas, round_even(
 FROM l JOIN zipf USING (lang, lemma) GROUP BY doc_id""")
 def lexical_profile(spark, sf_dir):
     """Tokens, distinct lemmas, their ratio, and tokens by frequency band."""
-    t = tokens(blocks(spark, sf_dir))
-    l = t.groupBy("doc_id", "lang", "lemma").agg(F.count(F.lit(1)).alias("n")).join(zipf_table(t), ["lang", "lemma"]).withColumn("band", T.band(F.col("zipf")))  # noqa: E741
+    n = by_document(tokens(blocks(spark, sf_dir)))
+    l = n.join(zipf_table(n), ["lang", "lemma"]).withColumn("band", T.band(F.col("zipf")))  # noqa: E741
     return l.groupBy("doc_id").agg(
         F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("lemmas"), F.bround(F.count(F.lit(1)) / F.sum("n"), 6).alias("ttr"),
         *[F.coalesce(F.sum(F.when(F.col("band") == b, F.col("n"))), F.lit(0)).alias(b) for b in ("very_common", "common", "uncommon", "rare")],
@@ -85,9 +91,9 @@ def useful(b: DataFrame, most: int = 50) -> DataFrame:
     """An edition's most useful words: frequent in it, not too common or rare in the language, spread over chapters."""
     t = tokens(b)
     out = F.col("lemma").isin(*STOP) | ((F.col("i") > 0) & (F.col("lang") != "de") & (F.col("word") != F.col("lemma")))
-    l = t.groupBy("doc_id", "lang", "lemma").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("chapter").alias("chapters"), F.bool_or(out).alias("out")).filter("not out and n >= 2")  # noqa: E741
+    n = by_document(t, F.size(F.collect_set("chapter")).alias("chapters"), F.bool_or(out).alias("out"))
     c = b.groupBy("doc_id").agg(F.max("chapter").alias("chapters_all"))
-    u = l.join(zipf_table(t), ["lang", "lemma"]).filter("zipf >= 2.5 and zipf < 5").join(c, "doc_id")
+    u = n.filter("not out and n >= 2").join(zipf_table(n), ["lang", "lemma"]).filter("zipf >= 2.5 and zipf < 5").join(c, "doc_id")
     u = u.withColumn("score", F.round(F.log1p("n") * (0.65 + 0.35 * F.col("chapters") / F.col("chapters_all")) * (6 - F.col("zipf")), 6))
     return u.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("n"), "lemma"))).filter(F.col("place") <= most)
 
@@ -97,9 +103,9 @@ def useful_words(spark, sf_dir):
     return useful(blocks(spark, sf_dir)).select("doc_id", "lemma", "n", "score", "place")
 
 
-@R.query("TXT-09", f"WITH {TOKENS} SELECT doc_id, lemma, pos, CAST(i AS INTEGER) AS i, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lemma ORDER BY pos, i) AS nth FROM tokens WHERE length(lemma) > 9) WHERE nth <= 3")
+@R.query("TXT-09", f"WITH {TOKENS} SELECT doc_id, lemma, pos, CAST(i AS INTEGER) AS i, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lemma ORDER BY pos, i) AS nth FROM tokens) WHERE nth <= 3")
 def first_occurrences(spark, sf_dir):
-    t = tokens(blocks(spark, sf_dir)).filter(F.length("lemma") > 9)
+    t = tokens(blocks(spark, sf_dir))
     n = F.row_number().over(W.partitionBy("doc_id", "lemma").orderBy("pos", "i"))
     return t.withColumn("nth", n).filter("nth <= 3").select("doc_id", "lemma", "pos", "i", "nth")
 
@@ -141,7 +147,7 @@ def split_words(spark, sf_dir):
     """Two words that are one word split by a blank: the joined spelling is known and much more frequent than the fragment."""
     b = blocks(spark, sf_dir)
     p = pairs(b, r"^[ \t]+$").filter((F.length("left") >= 2) & (F.length("right") >= 2))
-    z = joined(p, zipf_table(tokens(b))).filter("z_joined >= 3")
+    z = joined(p, zipf_table(by_document(tokens(b)))).filter("z_joined >= 3")
     half = lambda word, zipf: F.when((F.length(word) <= 3) & (F.col(zipf) < 4.2), F.col(zipf))
     rarest = F.least(half("left", "z_left"), half("right", "z_right"))
     f = z.withColumn("rarity", F.col("z_joined") - rarest).filter("rarity >= 1")
@@ -156,7 +162,7 @@ def detached_initials(spark, sf_dir):
     b = blocks(spark, sf_dir)
     pattern = r"^[\"“«]?(\p{Lu})[ \t]+(\p{Ll}+)"
     d = b.select("doc_id", "lang", "pos", F.regexp_extract("text", pattern, 1).alias("left"), F.regexp_extract("text", pattern, 2).alias("right")).filter("left <> ''")
-    z = joined(d, zipf_table(tokens(b))).withColumn("gain", F.col("z_joined") - F.col("z_right")).filter("z_joined >= 2 and gain >= 0.5")
+    z = joined(d, zipf_table(by_document(tokens(b)))).withColumn("gain", F.col("z_joined") - F.col("z_right")).filter("z_joined >= 2 and gain >= 0.5")
     return z.select("doc_id", "pos", F.concat("left", "right").alias("suggested"), F.round(F.least(F.lit(0.98), 0.7 + F.col("gain") / 2), 3).alias("confidence"))
 
 
@@ -175,12 +181,12 @@ def stopword_language(spark, sf_dir):
     return v.select("doc_id", voted.alias("voted"), ((F.col("letters") >= 100) & (top > 0) & (top * 5 >= total * 4)).alias("sure"))
 
 
-@R.query("AGG-35 FLT-11 FLT-12 TXT-24 TXT-25", f"""WITH {_USEFUL}, q AS (SELECT doc_id, lemma FROM useful WHERE place <= 3),
+@R.query("AGG-35 FLT-11 FLT-12 TXT-24 TXT-25", f"""WITH {_USEFUL}, q AS (SELECT doc_id, lemma FROM useful),
 h AS (SELECT q.doc_id, q.lemma, b.pos, strpos(b.text, q.lemma) AS place, b.text FROM q JOIN blocks b ON b.doc_id = q.doc_id AND contains(b.text, q.lemma))
 SELECT doc_id, lemma, pos, CAST(place - 1 AS INTEGER) AS start, strpos(substr(text, place + 1), lemma) = 0 AS once, substr(text, place, length(lemma)) = lemma AS current FROM h""")
 def citation_anchors(spark, sf_dir):
     """Where quotes stand in their edition's blocks, whether only once, and that the stored span still reads the same."""
     b = blocks(spark, sf_dir)
-    q = useful(b).filter("place <= 3").select("doc_id", "lemma")
+    q = useful(b).select("doc_id", "lemma")
     h = q.join(b.select("doc_id", "pos", "text"), "doc_id").filter(F.contains("text", "lemma")).withColumn("at", F.instr("text", F.col("lemma")))
     return h.select("doc_id", "lemma", "pos", (F.col("at") - 1).alias("start"), F.expr("locate(lemma, text, at + 1) = 0").alias("once"), (T.span(F.col("text"), F.col("at") - 1, F.col("at") - 1 + F.length("lemma")) == F.col("lemma")).alias("current"))

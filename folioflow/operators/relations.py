@@ -123,10 +123,10 @@ def alternate_keys(spark, sf_dir):
     return a.unionByName(b).groupBy("k").agg(F.sum("spent").cast("double").alias("spent"))
 
 
-@R.query("JOIN-14 ARR-02", "SELECT a.conv_id, a.turn AS source_turn, b.turn AS target_turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant' WHERE a.conv_id % 10 = 3")
+@R.query("JOIN-14 ARR-02", "SELECT a.conv_id, a.turn AS source_turn, b.turn AS target_turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant'")
 def group_members(spark, sf_dir):
     """An aligned group of n and m members as n * m rows, from two arrays of one row."""
-    g = table(spark, sf_dir, "conversations").filter("conv_id % 10 = 3").groupBy("conv_id").agg(F.collect_list(F.when(F.col("role") == "user", F.col("turn"))).alias("s"), F.collect_list(F.when(F.col("role") == "assistant", F.col("turn"))).alias("t"))
+    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.when(F.col("role") == "user", F.col("turn"))).alias("s"), F.collect_list(F.when(F.col("role") == "assistant", F.col("turn"))).alias("t"))
     return g.select("conv_id", F.explode("s").alias("source_turn"), "t").select("conv_id", "source_turn", F.explode("t").alias("target_turn"))
 
 
@@ -220,10 +220,10 @@ def lineage_closure(spark, sf_dir, most: int = 50):
     SELECT id, max(depth) AS depth, max_by(node, depth) AS root, bool_and(reviewed) AS exportable FROM w GROUP BY id""")
 
 
-@R.query("ORD-06", "SELECT c_custkey, lower(regexp_extract(trim(c_name), '([^#]+)$', 1)) AS surname FROM customer ORDER BY surname, c_custkey LIMIT 40")
+@R.query("ORD-06", "SELECT c_custkey, lower(regexp_extract(trim(c_name), '([^#]+)$', 1)) AS surname FROM customer ORDER BY surname, c_custkey")
 def surname_sort(spark, sf_dir):
     s = F.lower(F.element_at(F.split(F.trim("c_name"), "#"), -1))
-    return table(spark, sf_dir, "customer").select("c_custkey", s.alias("surname")).orderBy("surname", "c_custkey").limit(40)
+    return table(spark, sf_dir, "customer").select("c_custkey", s.alias("surname")).orderBy("surname", "c_custkey")
 
 
 @R.query("SET-02 SET-03", "SELECT k, 'both' AS side FROM (SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N') UNION ALL SELECT k, 'first' FROM (SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N') UNION ALL SELECT k, 'second' FROM (SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'N' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -246,13 +246,12 @@ def merged_findings(spark, sf_dir):
     return f.select("k", "n", c.alias("confidence"), F.greatest("p1", "p2").alias("stricter"))
 
 
-@R.query("SRC-12 SRC-13 MUT-01 MUT-02", """WITH stored AS (SELECT doc_id AS id, n_chars AS v FROM documents WHERE doc_id % 3 <> 0), fresh AS (SELECT doc_id AS id, n_chars + doc_id % 2 AS v FROM documents WHERE doc_id % 4 <> 0)
+@R.query("SRC-12 SRC-13 MUT-01 MUT-02", """WITH stored AS (SELECT doc_id AS id, quality AS v FROM labels), fresh AS (SELECT doc_id AS id, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS v FROM documents WHERE lang <> 'fr')
 SELECT coalesce(f.id, s.id) AS id, coalesce(f.v, s.v) AS v, CASE WHEN s.id IS NULL THEN 'inserted' WHEN f.id IS NULL THEN 'stale' WHEN s.v = f.v THEN 'equal' ELSE 'updated' END AS action FROM stored s FULL JOIN fresh f ON s.id = f.id""")
 def upsert_merge(spark, sf_dir):
     """Stored rows against a bundle's: inserted, updated, equal (skipped) or stale."""
-    d = table(spark, sf_dir, "documents")
-    stored = d.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("s"))
-    fresh = d.filter("doc_id % 4 <> 0").select(F.col("doc_id").alias("id"), (F.col("n_chars") + F.col("doc_id") % 2).alias("f"))
+    stored = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("s"))
+    fresh = table(spark, sf_dir, "documents").filter("lang <> 'fr'").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", 1).otherwise(0).alias("f"))
     action = F.when(F.col("s").isNull(), "inserted").when(F.col("f").isNull(), "stale").when(F.col("s") == F.col("f"), "equal").otherwise("updated")
     return stored.join(fresh, "id", "full").select("id", F.coalesce("f", "s").alias("v"), action.alias("action"))
 
@@ -342,12 +341,12 @@ def language_codes(spark, sf_dir):
 
 
 @R.query("STR-05 STR-07 STR-17 STR-19", r"""SELECT item_id, CASE WHEN greatest(20 - 9, 0) > 0 THEN '…' ELSE '' END || trim(regexp_replace(substr(text, 12, 40 + 9 - 11), '[ \t\n\x0B\f\r]+', ' ', 'g')) || CASE WHEN least(49, length(text)) < length(text) THEN '…' ELSE '' END AS context,
- array_to_string(regexp_extract_all(lower(left(text, 60)), '[\p{L}\p{N}_]+'), ' ') AS term,
- regexp_replace(lower(trim(regexp_replace(translate(left(text, 80), '“”„«»‘’—', repeat(chr(34), 5) || repeat(chr(39), 2) || '-'), '[ \t\n\x0B\f\r]+', ' ', 'g'))), '^["'' ]+|["'' .,;:!?]+$', '', 'g') AS quote,
+ array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') AS term,
+ regexp_replace(lower(trim(regexp_replace(translate(text, '“”„«»‘’—', repeat(chr(34), 5) || repeat(chr(39), 2) || '-'), '[ \t\n\x0B\f\r]+', ' ', 'g'))), '^["'' ]+|["'' .,;:!?]+$', '', 'g') AS quote,
  round(length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) / length(regexp_replace(text, '[^\p{L}]', '', 'g')), 6) AS capitals FROM benchmark""")
 def text_scalars(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "benchmark").select("item_id", T.context(t, F.lit(20), F.lit(40), 9).alias("context"), T.term_key(F.substring(t, 1, 60)).alias("term"), T.normal_quote(F.substring(t, 1, 80)).alias("quote"), F.round(T.capitals_share(t), 6).alias("capitals"))
+    return table(spark, sf_dir, "benchmark").select("item_id", T.context(t, F.lit(20), F.lit(40), 9).alias("context"), T.term_key(t).alias("term"), T.normal_quote(t).alias("quote"), F.round(T.capitals_share(t), 6).alias("capitals"))
 
 
 @R.query("STR-14 STR-15 STR-21", """SELECT p_partkey, regexp_matches(replace(p_name, ' ', '-'), '^[a-z0-9]+(-[a-z0-9]+)*$') AS valid, replace(p_name, ' ', '-') || CASE WHEN row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1 THEN '' ELSE '-' || row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) END AS slug,
