@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from ..operators import blocks, ingest, ledger, levels, lexical, relations, vectors
+from ..operators import blocks, ingest, ledger, levels, lexical, providers, relations, vectors
 from ..streaming import events
 from .registry import Query, Registry
 
 FLAGSHIP = "spend_lines"
 
 ALL = Registry()
-for part in (ledger, blocks, lexical, relations, levels, vectors, ingest, events):
+for part in (ledger, blocks, lexical, relations, levels, vectors, ingest, providers, events):
     ALL.include(part.R)
 
 QUERIES: dict[str, Query] = ALL.queries
