@@ -199,8 +199,12 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = BLOCK,
         return run
 
     asked = common.materialise(common.map_arrow(queries, "d int, qblock long, qids binary, q binary", gather), "query-blocks")
-    # every block of queries goes to every block of codes of its dimension: an equi-join on the block's name
-    pairs = asked.join(places, "d").repartition("block", "qblock")
+    # every block of queries goes to every block of codes of its dimension: an equi-join on a part of the blocks' names, so that
+    # no key of the join has more than some dozens of them
+    parts = max(1, places.count() // 64)
+    named = places.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
+    sent = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pairs = sent.join(named, ["d", "part"]).drop("part").repartition("block", "qblock")
     work = pairs.join(codes.drop("d"), "block")
 
     def run_blocks():
