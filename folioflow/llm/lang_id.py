@@ -42,7 +42,7 @@ class Grams:
     def __init__(self, buckets: int = BUCKETS):
         self.buckets = buckets
         self.shift = np.uint32(32 - (buckets.bit_length() - 1))
-        flags = np.frombuffer(b"".join(b"\1" if chr(i).isalpha() else b"\0" for i in range(0x3134F)), np.uint8)
+        flags = np.frombuffer(b"".join(b"\1" if chr(i).isalpha() else b"\0" for i in range(0x323B0)), np.uint8)
         self.letter = np.zeros(0x110000, bool)
         self.letter[: len(flags)] = flags == 1
 
