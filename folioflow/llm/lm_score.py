@@ -12,7 +12,7 @@ is the sum of ln S over a document's words; its mean is given too.
 
 It is an equi-join of exploded n-grams with n-gram count tables, done in blocks so that rows are packed:
 
-1. Chunks of documents (about ``chunk_words`` words each) explode into n-grams of orders 0 to 3 as 64-bit hashes, and
+1. Chunks of documents (about ``chunk_words`` words each) explode into n-grams of orders 0 to 3 as 56-bit hashes, and
    pre-aggregate them: one entry for each distinct n-gram of a chunk.
 2. Entries are partitioned by hash: the top bits name one of 2^k buckets, whose number follows the corpus's size. A
    bucket sums its entries over chunks, which is its part of the count tables, and joins them back: every entry
@@ -39,14 +39,15 @@ from . import common
 CHUNK_WORDS = 1_200_000
 BUCKET_ENTRIES = 2_000_000
 BACKOFF = 0.4
-NOTHING = np.uint64(0x243F6A8885A308D3)  # the 0-gram, whose count is the number of words
+KEPT = np.uint64(0xFFFFFFFFFFFFFF00)  # 56 of 64 bits: what is packed and sent
+NOTHING = np.uint64(0x243F6A8885A30800)  # the 0-gram, whose count is the number of words
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _M2
     x = (x ^ (x >> np.uint64(29))) * _M3
-    return x ^ (x >> np.uint64(32))
+    return (x ^ (x >> np.uint64(32))) & KEPT
 
 
 def gram_hashes(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,43 +97,42 @@ class Codec:
         return np.ascontiguousarray(np.frombuffer(self.unpack(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
     def hashes(self, x: np.ndarray) -> tuple[bytes, bytes]:
-        """Gaps of the top 24 bits, compressed, and the low 40 bits as they are."""
+        """Gaps of the top 24 bits, compressed, and the next 32 bits as they are."""
         high = (x >> np.uint64(40)).astype(np.int64)
-        low = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+        low = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:5]).tobytes()
         return self.numbers(np.diff(high, prepend=0)), low
 
     def read_hashes(self, gaps: bytes, low: bytes) -> np.ndarray:
         high = np.cumsum(self.read_numbers(gaps).astype(np.uint64)) << np.uint64(40)
         full = np.zeros((len(high), 8), np.uint8)
-        full[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
+        full[:, 1:5] = np.frombuffer(low, np.uint8).reshape(-1, 4)
         return high | full.view("<u8").ravel()
 
 
-def chunks(batches, chunk_words: int):
-    """(serial, doc ids, texts, words by document) of each chunk of a task."""
-    serial, ids, texts, words, n = 0, [], [], [], 0
+def chunks(batches, chunk_words: int, read):
+    """(serial, doc ids, what read(text) gives) of each chunk of a task; both passes cut at the same documents."""
+    serial, ids, got, n = 0, [], [], 0
     for b in batches:
         for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            text = text.as_py() or ""
-            w = common.words_of(text)
+            words, value = read(text.as_py() or "")
             ids.append(doc)
-            texts.append(text)
-            words.append(w)
-            n += len(w) + 1
+            got.append(value)
+            n += words + 1
             if n >= chunk_words:
-                yield serial, ids, texts, words
-                serial, ids, texts, words, n = serial + 1, [], [], [], 0
+                yield serial, ids, got
+                serial, ids, got, n = serial + 1, [], [], 0
     if ids:
-        yield serial, ids, texts, words
+        yield serial, ids, got
 
 
-def hashed(words: list[list[bytes]], hashes: common.WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(text: str, hashes: common.WordHashes) -> np.ndarray:
+    words = common.words_of(text)
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+
+
+def in_a_row(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All documents' word hashes in a row, and where each document starts (and the end)."""
-    starts = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-    out = np.empty(starts[-1], np.uint64)
-    for w, a in zip(words, starts, strict=False):
-        out[a : a + len(w)] = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
-    return out, starts
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
 def own_counts(i: np.ndarray) -> np.ndarray:
@@ -201,8 +201,12 @@ def score(docs: DataFrame, chunk_words: int = CHUNK_WORDS, bucket_entries: int =
         hashes, codec, task = common.WordHashes(), Codec(), TaskContext.get().partitionId()
 
         def run(batches):
-            for serial, _, _, words in chunks(batches, chunk_words):
-                h, starts = hashed(words, hashes)
+            def read(text):
+                h = word_hashes(text, hashes)
+                return len(h), h
+
+            for serial, _, parts in chunks(batches, chunk_words, read):
+                h, starts = in_a_row(parts)
                 values, counts = distinct_sorted(gram_hashes(h, starts[:-1]))
                 bucket = (values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
                 cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
@@ -241,7 +245,7 @@ def score(docs: DataFrame, chunk_words: int = CHUNK_WORDS, bucket_entries: int =
         codec, task = Codec(), TaskContext.get().partitionId()
 
         def run(batches):
-            for serial, ids, texts, _ in chunks(batches, chunk_words):
+            for serial, ids, texts in chunks(batches, chunk_words, lambda t: (len(common.words_of(t)), t)):
                 data = codec.pack(pickle.dumps((ids, texts)))
                 yield pa.record_batch([pa.array([(task << 32) + serial]), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([data], pa.binary())], ["chunk", "kind", "bucket", "data"])
 
@@ -257,7 +261,7 @@ def score(docs: DataFrame, chunk_words: int = CHUNK_WORDS, bucket_entries: int =
 
         def finish(docs, totals):
             ids, texts = pickle.loads(codec.unpack(docs))
-            h, starts = hashed([common.words_of(t) for t in texts], hashes)
+            h, starts = in_a_row([word_hashes(t, hashes) for t in texts])
             values, at = numbered(gram_hashes(h, starts[:-1]))
             totals = np.concatenate(totals)
             if len(totals) != len(values):
