@@ -26,6 +26,7 @@ are rebuilt row by row; a null doc_id is one document before all others; extra c
 from __future__ import annotations
 
 import hashlib
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -149,7 +150,7 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "h1 long, h2 long, doc_id long", make)
 
 
-INDEX = "levels array<binary>, sizes array<long>, prints binary, counts binary, docs binary"
+INDEX = "data binary"  # one value: many null arrays beside each probe are slow to hand over
 
 
 def build_index(counts: DataFrame, shards: int, least: int) -> DataFrame:
@@ -165,7 +166,8 @@ def build_index(counts: DataFrame, shards: int, least: int) -> DataFrame:
         n[at] = np.minimum(t.column("n").to_numpy(), 255)
         docs[at] = t.column("top").to_numpy()
         levels, sizes = mph.dump()
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "levels": pa.array([levels], pa.list_(pa.binary())), "sizes": pa.array([sizes], pa.list_(pa.int64())), "prints": [prints.tobytes()], "counts": [n.tobytes()], "docs": [docs.tobytes()]})
+        data = pickle.dumps((levels, sizes, prints.tobytes(), n.tobytes(), docs.tobytes()))
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([data], pa.binary())})
 
     return counts.withColumn("shard", F.pmod("h1", F.lit(shards))).groupBy("shard").applyInArrow(shard, f"shard long, {INDEX}")
 
@@ -187,9 +189,8 @@ def probe(index: DataFrame, probes: DataFrame, shards: int, least: int) -> DataF
                 for i, start in enumerate(cuts):
                     stop = cuts[i + 1] if i + 1 < len(cuts) else len(shard)
                     if kind[start] == 0:
-                        row = {c: b.column(c)[start].as_py() for c in ("levels", "sizes", "prints", "counts", "docs")}
-                        state.clear()
-                        state.update(shard=shard[start], mph=PerfectHash.load(row["levels"], row["sizes"]), prints=np.frombuffer(row["prints"], np.uint32), n=np.frombuffer(row["counts"], np.uint8), docs=np.frombuffer(row["docs"], np.int64))
+                        levels, sizes, prints, n, docs = pickle.loads(b.column("data")[start].as_py())
+                        state.update(mph=PerfectHash.load(levels, sizes), prints=np.frombuffer(prints, np.uint32), n=np.frombuffer(n, np.uint8), docs=np.frombuffer(docs, np.int64))
                         continue
                     part = b.slice(start, stop - start)
                     h1, h2 = (part.column(c).to_numpy().astype(np.uint64) for c in ("h1", "h2"))
