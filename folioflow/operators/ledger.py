@@ -82,14 +82,14 @@ def spend_by(spark: SparkSession, sf_dir: str, period: str, count: int) -> DataF
     spine = buckets(spark, period, count)
     calls = ledger(spark, sf_dir).filter(F.col("purpose").isin(*PROVIDERS)).withColumn("bucket", time.floor(F.col("ts"), period))
     wide = calls.groupBy("bucket").pivot("purpose", list(PROVIDERS)).agg(F.sum("cost"))
-    return spine.join(wide, "bucket", "left").select("bucket", *[usd(F.col(p)).alias(p) for p in PROVIDERS])
+    return spine.join(wide, "bucket", "left").select(F.col("bucket").cast("string").alias("bucket"), *[usd(F.col(p)).alias(p) for p in PROVIDERS])
 
 
 def _bucket_sql(period: str, count: int) -> str:
     sums = ", ".join(f"CAST(coalesce(sum(cost) FILTER (purpose = '{p}'), 0) AS DOUBLE) AS {p}" for p in PROVIDERS)
     return f"""WITH {LEDGER}, spine AS (
   SELECT CAST(date_trunc('{period}', TIMESTAMP '{NOW}') - i * INTERVAL 1 {period} AS DATE) AS bucket FROM range({count}) t(i))
-SELECT bucket, {sums} FROM spine LEFT JOIN ledger ON CAST(date_trunc('{period}', ts) AS DATE) = bucket GROUP BY bucket"""
+SELECT CAST(spine.bucket AS VARCHAR) AS bucket, {sums} FROM spine LEFT JOIN ledger ON CAST(date_trunc('{period}', ts) AS DATE) = spine.bucket GROUP BY spine.bucket"""
 
 
 @R.query("AGG-06 DT-01 DT-02", _bucket_sql("day", 30))
@@ -203,13 +203,13 @@ CAPS = [("click", "20000.00"), ("view", None), ("purchase", "1000000.00"), ("sig
 
 @R.query("COST-03 MTH-05", f"""WITH {LEDGER}, caps(purpose, cap) AS (VALUES ('click', 20000.00::DECIMAL(10,2)), ('view', NULL), ('purchase', 1000000.00), ('signup', 1.00), ('error', 0.00)),
 s AS (SELECT purpose, sum(cost) AS spent FROM ledger GROUP BY purpose)
-SELECT c.purpose, CAST(spent AS DOUBLE) AS spent, CAST(cap AS DOUBLE) AS cap, CASE WHEN cap > 0 THEN CAST(least(100, floor(CAST(spent * 100 AS DOUBLE) / CAST(cap AS DOUBLE))) AS BIGINT) END AS share,
+SELECT c.purpose, CAST(spent AS DOUBLE) AS spent, CAST(cap AS DOUBLE) AS cap, CASE WHEN cap > 0 THEN CAST(least(100, floor(CAST(spent * 100 AS DOUBLE) / CAST(cap AS DOUBLE))) AS DOUBLE) END AS share,
   cap IS NULL OR spent + 5 <= cap AS fits FROM caps c LEFT JOIN s USING (purpose)""")
 def budget_overview(spark, sf_dir):
     caps = spark.createDataFrame(CAPS, "purpose string, cap string").withColumn("cap", F.col("cap").cast("decimal(10,2)"))
     spent = ledger(spark, sf_dir).groupBy("purpose").agg(F.sum("cost").alias("spent"))
     share = money.clamped_share(F.col("spent").cast("double"), F.col("cap").cast("double"))
-    return caps.join(spent, "purpose", "left").select("purpose", F.col("spent").cast("double").alias("spent"), F.col("cap").cast("double").alias("cap"), share.alias("share"), (F.col("cap").isNull() | (F.col("spent") + 5 <= F.col("cap"))).alias("fits"))
+    return caps.join(spent, "purpose", "left").select("purpose", F.col("spent").cast("double").alias("spent"), F.col("cap").cast("double").alias("cap"), share.cast("double").alias("share"), (F.col("cap").isNull() | (F.col("spent") + 5 <= F.col("cap"))).alias("fits"))
 
 
 @R.query("COST-01 MTH-01 MAP-01", f"""WITH {LEDGER}, t AS (SELECT call_id, purpose, model * 1000 + account AS n_in, model * 100 AS cached, account * 7 AS n_out,
@@ -364,8 +364,8 @@ def stage_progress(spark, sf_dir):
 
 
 @R.query("ORD-07", f"""WITH {LEDGER}, a AS (SELECT account, CASE WHEN account % 4 = 0 THEN NULL ELSE account % 4 END AS priority, sum(cost) AS used FROM ledger GROUP BY account)
-SELECT account, priority, CAST(row_number() OVER (ORDER BY priority NULLS LAST, used, account) AS INTEGER) AS turn FROM a""")
+SELECT account, CAST(priority AS DOUBLE) AS priority, CAST(row_number() OVER (ORDER BY priority NULLS LAST, used, account) AS INTEGER) AS turn FROM a""")
 def call_order(spark, sf_dir):
     """Accounts by priority, unset last, then by least used; one row an account."""
     a = ledger(spark, sf_dir).groupBy("account").agg(F.sum("cost").alias("used")).withColumn("priority", F.when(F.col("account") % 4 != 0, F.col("account") % 4))
-    return a.select("account", "priority", F.row_number().over(W.partitionBy().orderBy(F.col("priority").asc_nulls_last(), "used", "account")).alias("turn"))
+    return a.select("account", F.col("priority").cast("double").alias("priority"), F.row_number().over(W.partitionBy().orderBy(F.col("priority").asc_nulls_last(), "used", "account")).alias("turn"))

@@ -108,12 +108,12 @@ def adaptation_gate(spark, sf_dir, target=4):
     return h.select("doc_id", "body", "held", "far", ((F.col("held") > 0) & ~((F.col("far") == 0) & (F.col("held") <= F.floor(F.col("body") / 5)))).alias("blocked"))
 
 
-@R.query("LVL-06", f"WITH {READINGS}, t AS (SELECT DISTINCT doc_id, ord FROM readings WHERE pos = 0 UNION SELECT doc_id, ord FROM readings WHERE pos = 1) SELECT doc_id, CASE WHEN count(*) = 1 THEN min(ord) END AS target FROM t GROUP BY doc_id")
+@R.query("LVL-06", f"WITH {READINGS}, t AS (SELECT DISTINCT doc_id, ord FROM readings WHERE pos = 0 UNION SELECT doc_id, ord FROM readings WHERE pos = 1) SELECT doc_id, CAST(CASE WHEN count(*) = 1 THEN min(ord) END AS DOUBLE) AS target FROM t GROUP BY doc_id")
 def target_resolution(spark, sf_dir):
     """The one target that runs and blocks agree on, else null."""
     r = readings(spark, sf_dir)
     t = r.filter("pos = 0").select("doc_id", "ord").union(r.filter("pos = 1").select("doc_id", "ord")).distinct()
-    return t.groupBy("doc_id").agg(F.when(F.count(F.lit(1)) == 1, F.min("ord")).alias("target"))
+    return t.groupBy("doc_id").agg(F.when(F.count(F.lit(1)) == 1, F.min("ord")).cast("double").alias("target"))
 
 
 @R.query("LVL-08", f"WITH {READINGS}, e AS (SELECT source, ord, max(CASE WHEN judge = 0 THEN 2 WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) AS evidence FROM readings GROUP BY ALL) SELECT source, min(ord) FILTER (evidence > 0) AS floor FROM e GROUP BY source")

@@ -275,11 +275,11 @@ def bulk_apply(spark, sf_dir):
     return out.select("conv_id", "turn", F.when((F.col("n") == 1) & (F.substring("text", 1, 3) != ""), F.overlay("text", F.lit("The"), 1, 3)).otherwise(F.col("text")).alias("text"))
 
 
-@R.query("MUT-06", "SELECT c_custkey, CASE WHEN strpos(c_name, '00012') > 0 THEN strpos(c_name, '00012') - 1 END AS start FROM customer")
+@R.query("MUT-06", "SELECT c_custkey, CASE WHEN strpos(c_name, '00012') > 0 THEN CAST(strpos(c_name, '00012') - 1 AS DOUBLE) END AS start FROM customer")
 def relocate_findings(spark, sf_dir):
     """Where a quote now stands, or null."""
     at = F.instr("c_name", F.lit("00012"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.when(at > 0, at - 1).cast("long").alias("start"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.when(at > 0, at - 1).cast("double").alias("start"))
 
 
 @R.query("MUT-08", "SELECT o_orderkey AS id, 'tombstone' AS kind FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_orderkey, 'edition' FROM orders WHERE o_orderstatus <> 'P'")
@@ -290,12 +290,12 @@ def purge_to_tombstones(spark, sf_dir):
     return gone.select(F.col("o_orderkey").alias("id"), F.lit("tombstone").alias("kind")).unionByName(kept.select(F.col("o_orderkey").alias("id"), F.lit("edition").alias("kind")))
 
 
-@R.query("MUT-11", "WITH n AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS runs, min(l_suppkey) AS only_run FROM lineitem GROUP BY 1) SELECT l_orderkey, l_linenumber, l_partkey, coalesce(CASE WHEN l_discount > 0 THEN l_suppkey END, CASE WHEN runs = 1 THEN only_run END) AS run FROM lineitem JOIN n USING (l_orderkey)")
+@R.query("MUT-11", "WITH n AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS runs, min(l_suppkey) AS only_run FROM lineitem GROUP BY 1) SELECT l_orderkey, l_linenumber, l_partkey, CAST(coalesce(CASE WHEN l_discount > 0 THEN l_suppkey END, CASE WHEN runs = 1 THEN only_run END) AS DOUBLE) AS run FROM lineitem JOIN n USING (l_orderkey)")
 def passage_provenance(spark, sf_dir):
     """The run that is linked to a block, else the edition's only run."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     n = l.groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("runs"), F.min("l_suppkey").alias("only_run"))
-    return l.join(n, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(F.when(F.col("l_discount") > 0, F.col("l_suppkey")), F.when(F.col("runs") == 1, F.col("only_run"))).alias("run"))
+    return l.join(n, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(F.when(F.col("l_discount") > 0, F.col("l_suppkey")), F.when(F.col("runs") == 1, F.col("only_run"))).cast("double").alias("run"))
 
 
 @R.query("ARR-05 WIN-06", None)
@@ -365,10 +365,10 @@ def url_predicate(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.parse_url(u, F.lit("PROTOCOL")).alias("scheme"), F.parse_url(u, F.lit("HOST")).alias("host"), ok.alias("allowed"))
 
 
-@R.query("DT-02 DT-04", "SELECT o_orderkey, CAST(o_orderdate + INTERVAL 1 month AS DATE) AS next_month, CAST(date_trunc('month', o_orderdate) + INTERVAL 1 month AS DATE) AS month_end, CAST(date_trunc('week', o_orderdate) AS DATE) AS monday, o_orderpriority ~ '^[0-9]{4}-' AS dated FROM orders")
+@R.query("DT-02 DT-04", "SELECT o_orderkey, CAST(CAST(o_orderdate + INTERVAL 1 month AS DATE) AS VARCHAR) AS next_month, CAST(CAST(date_trunc('month', o_orderdate) + INTERVAL 1 month AS DATE) AS VARCHAR) AS month_end, CAST(CAST(date_trunc('week', o_orderdate) AS DATE) AS VARCHAR) AS monday, o_orderpriority ~ '^[0-9]{4}-' AS dated FROM orders")
 def month_arithmetic(spark, sf_dir):
     d = F.to_date("o_orderdate")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.add_months(d, 1).alias("next_month"), F.date_add(F.last_day(d), 1).alias("month_end"), F.to_date(F.date_trunc("week", "o_orderdate")).alias("monday"), F.col("o_orderpriority").rlike("^[0-9]{4}-").alias("dated"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.add_months(d, 1).cast("string").alias("next_month"), F.date_add(F.last_day(d), 1).cast("string").alias("month_end"), F.to_date(F.date_trunc("week", "o_orderdate")).cast("string").alias("monday"), F.col("o_orderpriority").rlike("^[0-9]{4}-").alias("dated"))
 
 
 @R.query("PRJ-02 PRJ-03", "SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 'in progress' WHEN 'F' THEN 'final' ELSE 'open' END AS status_label, right(o_orderpriority, length(o_orderpriority) - 2) AS short_label FROM orders")
