@@ -186,3 +186,13 @@ def test_cosine_rejects_unlike_dimensions(spark):
     assert df.filter("size(a) = 2").select(vectors.cosine(F.col("a"), F.col("b"))).first()[0] == 0
     with pytest.raises(Exception, match="dimensions"):
         df.select(vectors.cosine(F.col("a"), F.col("b")).alias("c")).agg(F.sum("c")).collect()
+
+
+def test_alignment_of_250_by_250_is_quick():
+    import time as clock
+
+    rng = np.random.default_rng(1)
+    s, t = rng.standard_normal((250, 64)), rng.standard_normal((250, 64))
+    start = clock.perf_counter()
+    assert vectors.monotonic(s, t, ((1, 1), (1, 2), (2, 1), (2, 2), (1, 3), (3, 1)), 0.1, 0.15, 0.08)
+    assert clock.perf_counter() - start < 10
