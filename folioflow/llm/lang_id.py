@@ -229,6 +229,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, st
     from pyspark.sql import types as T
 
     small = Model(model.classes, model.weights.astype(np.float32), model.bias.astype(np.float32), model.idf.astype(np.float32), model.temperature)
+    # texts are handed over once, whether they are kept or only read
+    sent = [F.col(f"`{c}`") for c in keep] + ([] if "text" in keep else [F.col("text").alias("__read")])
+    where = keep.index("text") if "text" in keep else len(keep)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def make():
@@ -236,13 +239,12 @@ def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, st
 
         def run(batches):
             for b in batches:
-                found = [small.predict(grams(t.as_py())) for t in b.column(0)]
-                yield pa.record_batch([*(b.column(i + 1) for i in range(len(keep))), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*keep, *names])
+                found = [small.predict(grams(t.as_py())) for t in b.column(where)]
+                yield pa.record_batch([*(b.column(i) for i in range(len(keep))), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*keep, *names])
 
         return run
 
-    # the text under a name that none of the kept columns can have
-    return common.map_arrow(docs.select(F.col("text").alias("__read"), *keep), schema, make)
+    return common.map_arrow(docs.select(*sent), schema, make)
 
 
 def held_out(divisor: int = 4, rest: int = 2):
