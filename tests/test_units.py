@@ -196,3 +196,51 @@ def test_alignment_of_250_by_250_is_quick():
     start = clock.perf_counter()
     assert vectors.monotonic(s, t, ((1, 1), (1, 2), (2, 1), (2, 2), (1, 3), (3, 1)), 0.1, 0.15, 0.08)
     assert clock.perf_counter() - start < 10
+
+
+def at(*degrees):
+    return np.array([[np.cos(np.radians(d)), np.sin(np.radians(d)), 0.0] for d in degrees])
+
+
+def test_acceptance_needs_the_margin():
+    e = np.eye(5)
+    target = np.stack([0.78 * e[0] + np.sqrt(1 - 0.78**2) * e[2], e[1], e[3]])
+    for rival, certain in ((e[4], True), (0.1 * e[0] + np.sqrt(0.99) * e[2], False)):  # the second is 0.70 like the first target
+        first = vectors.graded(np.stack([e[0], e[1], rival]), target, None, 0.65)[0]
+        assert (first["source"], first["target"], first["certain"]) == ([0], [0], certain)
+        assert first["acceptance"] == ("reciprocal_margin" if certain else "uncertain")
+
+
+def test_cover_holds_every_sentence_of_both_sides_once():
+    g = lambda s, t: vectors.group(s, t, True, 0.9)
+    got = vectors.cover(6, 7, [g([1], [0]), g([4], [5])])
+    assert [(x["source"], x["target"], x["certain"]) for x in got] == [([0, 1], [0], False), ([2], [1, 2], False), ([3], [3, 4], False), ([4], [5], True), ([5], [6], False)]
+    assert [(x["source"], x["target"]) for x in vectors.cover(1, 3, [g([0], [0])])] == [([0], [0, 1, 2])]
+    assert [(x["source"], x["target"], x["acceptance"]) for x in vectors.cover(0, 2, [])] == [([], [0, 1], "no_partner")]
+
+
+def test_correspondence_of_frames(spark):
+    """Both sides' leftovers are kept, also where a chapter's numbers have gaps."""
+    rows = [(1, 3, 3, [1.0, 0.0, 0.0]), (1, 8, 8, [0.0, 1.0, 0.0])], [(1, 2, 2, [1.0, 0.0, 0.0]), (1, 5, 5, [-0.6, -0.6, 0.5]), (1, 9, 9, [0.0, 1.0, 0.0]), (2, 4, 4, [1.0, 0.0, 0.0])]
+    frames = [spark.createDataFrame(r, "chapter int, seq long, sentence long, v array<double>") for r in rows]
+    got = sorted(vectors.correspondence(*frames).collect())
+    assert [tuple(r)[:5] + (r["certain"], r["method"]) for r in got] == [(1, 3, 1, 2, 2, False, "vectors"), (1, 8, 1, 9, 1, True, "vectors"), (2, None, 0, 4, 1, False, "missing_sentences")]
+
+
+def test_size_limit_pairs_by_position():
+    sides = [np.ones((601, 2)), np.ones((601, 2))]
+    method, groups = vectors.correspond(sides, [np.arange(601)] * 2)
+    assert method == "size_limit" and len(groups) == 601 and not any(x["certain"] for x in groups)
+    method, groups = vectors.correspond([np.ones((2, 2))] * 2, [np.arange(2)] * 2, [["a" * 12_001, "b"], ["c", "d"]])
+    assert method == "size_limit" and len(groups) == 2
+    assert vectors.correspond([np.ones((2, 2))] * 2, [np.arange(2)] * 2, [["a", "b"]] * 2)[0] == "identical_text"
+
+
+def test_clauses_refine_until_groups_stand():
+    same = at(0, 90)
+    assert [(x[0], x[1]) for x in vectors.refine(same, same)] == [([0], [0]), ([1], [1])]
+    crossed = vectors.refine(at(0, 50), at(25, 25))  # either clause is as near to the other's partner: one group is left
+    assert [(x[0], x[1], x[3]) for x in crossed] == [([0, 1], [0, 1], None)]
+    three = np.eye(3)
+    method, groups = vectors.correspond([three, three], [np.array([0, 0, 1])] * 2)
+    assert method == "vectors" and [(x["source"], x["target"], x["certain"], x["granularity"]) for x in groups] == [([0], [0], True, "clause"), ([1], [1], True, "clause"), ([2], [2], True, "sentence")]
