@@ -244,3 +244,17 @@ def test_clauses_refine_until_groups_stand():
     three = np.eye(3)
     method, groups = vectors.correspond([three, three], [np.array([0, 0, 1])] * 2)
     assert method == "vectors" and [(x["source"], x["target"], x["certain"], x["granularity"]) for x in groups] == [([0], [0], True, "clause"), ([1], [1], True, "clause"), ([2], [2], True, "sentence")]
+
+
+def test_attested_split_words_and_broken_hyphens(spark, monkeypatch):
+    filler = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(2600))] * 40
+    n = len(filler)
+    texts = [*filler, "together " * 30, "we came to gether again", "they went so on", "soon " * 30, "bro-ken", "a toge- ther b", "toge-\nther", "x1toge- ther", "toge- wabc"]
+    b = block_frame(spark, texts).withColumn("doc_id", (F.col("pos") == n + 3).cast("long"))
+    monkeypatch.setattr(lexical, "blocks", lambda *_: b)
+    monkeypatch.setattr(lexical, "table", lambda *_: b.select(F.col("pos").alias("doc_id"), "lang", "text"))
+    found = {(r["pos"], r["suggested"]): r["confidence"] for r in lexical.attested_split_words(spark, "").collect()}
+    assert set(found) == {(n + 1, "together")}  # "soon" stands in another edition only
+    loose = {(r["pos"], r["suggested"]): r["confidence"] for r in lexical.split_words(spark, "").collect()}
+    assert (n + 2, "soon") in loose and found[n + 1, "together"] == pytest.approx(loose[n + 1, "together"] + 0.08)
+    assert {(r["doc_id"], r["suggested"]) for r in lexical.broken_hyphens(spark, "").collect()} == {(n + 5, "together"), (n + 6, "together")}
