@@ -37,7 +37,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", F.col("pos").cast("long").alias("pos"), (F.floor(F.col("pos") / LINES_A_CHAPTER) + 1).alias("chapter"), (F.col("pos") % LINES_A_CHAPTER + 1).cast("long").alias("seq"), kind.alias("kind"), "text")
 
 
-@R.query("ING-02 ING-03 ARR-02 ING-15", f"WITH {BLOCKS} SELECT doc_id, chapter, seq, kind, format('c{{}}.{{}}{{}}', chapter, left(kind, 1), seq) AS block_id, text FROM blocks")
+@R.query("ING-02 ING-03 ARR-02", f"WITH {BLOCKS} SELECT doc_id, chapter, seq, kind, format('c{{}}.{{}}{{}}', chapter, left(kind, 1), seq) AS block_id, text FROM blocks")
 def blocks_view(spark, sf_dir):
     b = blocks(spark, sf_dir)
     return b.select("doc_id", "chapter", "seq", "kind", F.format_string("c%d.%s%d", "chapter", F.substring("kind", 1, 1), "seq").alias("block_id"), "text")

@@ -98,7 +98,7 @@ e AS (SELECT doc_id, count(*) AS body, count(*) FILTER (above AND NOT split) AS
 h AS (SELECT *, CASE WHEN split > floor(0.10 * body) THEN above + split ELSE above END AS held FROM e)"""
 
 
-@R.query("LVL-05 LVL-07", f"WITH {READINGS}, {_GATE} SELECT doc_id, body, held, far, held > 0 AND NOT (far = 0 AND held <= floor(0.20 * body)) AS blocked FROM h")
+@R.query("LVL-05", f"WITH {READINGS}, {_GATE} SELECT doc_id, body, held, far, held > 0 AND NOT (far = 0 AND held <= floor(0.20 * body)) AS blocked FROM h")
 def adaptation_gate(spark, sf_dir, target=4):
     """Chapters above the target hold a book back, unless they are few and none is two levels above; split ones join them if many."""
     g = readings(spark, sf_dir).groupBy("doc_id", "chapter").agg(F.max("ord").alias("hi"), F.min("ord").alias("lo"), F.countDistinct("judge").alias("judges"))

@@ -72,7 +72,7 @@ def upsert(target: str):
 STEPS = {"queued": "ingest", "ingest": "split", "split": "lexical", "lexical": "review", "review": "published"}
 
 
-@R.query("STRM-05 MUT-13", None)
+@R.query("STRM-05", None)
 def stepped_states(spark, sf_dir, ticks=3):
     """Editions move one step a tick through a table of transitions; failed ones wait. The loop is over ticks, not rows."""
     moves = spark.createDataFrame(list(STEPS.items()), "state string, then string")
