@@ -366,3 +366,15 @@ def test_token_counts_against_plain_search(docs, corpus):
 
 def test_token_counts_empty(empty):
     assert token_count.count_tokens(empty).count() == 0
+
+
+def test_null_ids_take_no_place_among_equal_documents():
+    import numpy as np
+
+    from folioflow.llm import search
+
+    none, k = np.iinfo(np.int64).min, 3
+    for ids, want in (([none, none, 5, 6, 7, 8], [5, 6, 7]), ([none] * 6, [])):
+        doc, term = np.arange(6), np.zeros(6, np.int32)
+        shard = search.Shard(np.array(ids), np.full(6, 1, np.int64), doc, term, np.ones(1), 1.0, np.zeros(0, np.int64), k)
+        assert sorted(shard.ids) == want
