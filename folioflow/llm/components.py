@@ -20,6 +20,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
+    if large:  # written, so that the join below has two plain shuffles and adaptive execution can split a vertex with very many edges
+        least = common.materialise(least, "least")
     linked = both.join(least, "a")
     if large:
         out = linked.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -378,3 +378,39 @@ def test_null_ids_take_no_place_among_equal_documents():
         doc, term = np.arange(6), np.zeros(6, np.int32)
         shard = search.Shard(np.array(ids), np.full(6, 1, np.int64), doc, term, np.ones(1), 1.0, np.zeros(0, np.int64), k)
         assert sorted(shard.ids) == want
+
+
+def test_near_dedup_repeated_ids_with_unlike_texts(spark):
+    """A document on several rows is linked where any of its texts is, whichever row comes first."""
+    import random
+
+    rng = random.Random(11)
+    text = lambda n=60: " ".join(rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(n))
+    rows, want = [], {}
+    for g in range(60):
+        base, first, second = 10 * g, text(), text()
+        rows += [(base, first), (base + 1, first + " tail"), (base + 2, text()), (base + 2, second), (base + 3, second + " end"), (base + 1, text())]
+        # 0 - 1 by the first text, 2 - 3 by the second; 4 ties both together
+        rows += [(base + 4, first), (base + 4, second)] if g % 2 else []
+        want |= {base: base, base + 1: base, base + 2: base if g % 2 else base + 2, base + 3: base if g % 2 else base + 2, base + 4: base}
+    rows += [(2, None), (7, "")]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = near_dedup.find(docs, k=4).collect()
+    assert len(got) == len(rows)
+    assert all(r["component_id"] == (7 if r["doc_id"] == 7 else want[r["doc_id"]]) for r in got)
+
+
+def test_near_dedup_loses_no_pair_at_the_threshold(spark):
+    """Pairs of sets at a similarity of exactly 0.8, short and long."""
+    rows, n = [], 0
+    for size in (9, 45, 90):
+        for _ in range(400):
+            shared = size * 8 // 9
+            words = [f"w{n}x{i}" for i in range(shared + 3)]
+            extra = [f"e{n}x{i}" for i in range(size - shared)], [f"f{n}x{i}" for i in range(size - shared)]
+            rows += [(2 * n, " ".join(words + extra[0])), (2 * n + 1, " ".join(words + extra[1]))]
+            n += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.find(docs, k=4).collect()}
+    assert all(got[2 * i + 1] == got[2 * i] == 2 * i for i in range(n))
