@@ -10,16 +10,22 @@
   linear scan over a text's tokens (Ruzzo and Tompa's stack of candidates, fed with runs of one sign)
   finds all its maximal segments.
 * Extreme values: with lambda the positive root of E[exp(lambda s)] = 1 over non-toxic tokens, a segment's
-  normalised score is lambda*S - ln(n) for n tokens. Segments above ``significant`` are reported. The best segment
-  and the sum over significant ones are calibrated against the labels by logistic regression; the largest
-  segment scores of non-toxic documents fit the Gumbel location that gives p-values.
-
-Labels are learned from a sample bounded by ``max_rows`` per class, drawn by a hash of the id; the vocabulary sent
-to the executors by ``max_words``.
+  normalised score is x = lambda*S - ln(n) for n tokens. The sample is dealt into ``FOLDS`` folds, copies into the same
+  one, and each fold is scored with weights learned from the others. The best segments of its non-toxic documents fit a
+  Gumbel law (its median and 95th percentile; where there are too few, its theoretical location 0 and spread 1), and with the share of
+  those that have any segment that gives each segment a p-value: the chance that a non-toxic document holds one as good.
+* A segment is significant when its p-value is at most ``significant``. A document's evidence is -ln p of its best
+  segment, and -ln p of its r best together by sum statistics, for the r that says most. The score is a logistic
+  regression on these two, fitted on the same held-out folds: nothing but p-values enters it. The weights that score
+  documents come from all folds.
+
+Labels are learned from a sample of at most ``max_rows`` ids per class, drawn by a hash of the id; the vocabulary is what
+that sample's toxic documents hold.
 
 Defined results: null or empty text has no segments and the score of such texts; rows without a label, or with a
 null one, are never learned from; of contradicting labels for one doc_id the larger holds; a null doc_id is
-never learned from and not held out; extra columns are ignored; without labels of both kinds the score is 0.
+never learned from and not held out; extra columns are ignored; without labels of both kinds, or texts for them, the
+score is 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +44,9 @@ from . import common
 #: Marks that words lose at their ends.
 MARKS = rb""".,;:!?*%$&#|"'()[]{}<>/\-_+=~`@^"""
 PREFIXES = (6, 5, 4)
+FOLDS = 5
+NOTHING = -20.0  # the normalised score that stands for no segment
+MOST = (12.0, 24.0)  # evidence beyond these says no more, whatever a sample of some thousand documents promises
 
 
 def token_keys(word: bytes) -> list[bytes]:
@@ -60,8 +69,8 @@ class TokenWeights(dict):
         return value
 
 
-def copies(documents: list[list[bytes]], rounds: int = 3) -> np.ndarray:
-    """For each document, 1 / the largest number of documents that share one of its min-hashes over three words."""
+def copies(documents: list[list[bytes]], rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """For each document, 1 / the largest number of documents that share one of its min-hashes over three words, and its fold."""
     hashes = common.WordHashes()
     marks = []
     for words in documents:
@@ -72,7 +81,13 @@ def copies(documents: list[list[bytes]], rounds: int = 3) -> np.ndarray:
         s = h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:]
         marks.append([int(((s ^ (s >> np.uint64(31))) * np.uint64(m)).min()) for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9)[:rounds]])
     sizes = [Counter(m[k] for m in marks) for k in range(rounds)]
-    return np.array([1 / max(sizes[k][m[k]] for k in range(rounds)) for m in marks])
+    share = np.array([1 / max(sizes[k][m[k]] for k in range(rounds)) for m in marks])
+    # documents that share their first min-hash lie in one fold: the largest groups first, each to the emptiest fold
+    group, load = {}, [0] * FOLDS
+    for m, n in sorted(sizes[0].items(), key=lambda x: (-x[1], x[0])):
+        group[m] = load.index(min(load))
+        load[group[m]] += n
+    return share, np.array([group[m[0]] for m in marks], np.int64)
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -110,7 +125,8 @@ class Model:
     rate: float = 1.0  # lambda
     location: float = 0.0  # of the Gumbel law of non-toxic documents' best normalised score
     spread: float = 1.0
-    significant: float = 0.0
+    any_share: float = 1.0  # of non-toxic documents that have a segment at all
+    significant: float = 0.05
     logistic: tuple[float, float, float] = (0.0, 0.0, -50.0)
     cache: TokenWeights | None = field(default=None, repr=False)
 
@@ -124,20 +140,26 @@ class Model:
         log_n = np.log(len(words))
         return [(a, b, self.rate * x - log_n) for a, b, x in segments(s)]
 
-    def features(self, words: list[bytes]) -> tuple[float, float]:
-        best, total = -20.0, 0.0
-        for _, _, x in self.spans(words):
-            best = max(best, x)
-            total += max(0.0, x - self.significant)
-        return best, total
-
-    def p_value(self, best: float) -> float:
-        return float(-np.expm1(-np.exp(np.clip(-(best - self.location) / self.spread, -700, 30))))
-
-    def score(self, words: list[bytes]) -> float:
-        best, total = self.features(words)
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        """Normalised scores as deviations of the Gumbel law."""
+        return np.clip((x - self.location) / self.spread, -30, 700)
+
+    def features(self, spans: list[tuple[int, int, float]]) -> tuple[float, float, int]:
+        """-ln p of the best segment, -ln p of the best ones together, and the number of significant segments."""
+        if not spans:
+            return 0.0, 0.0, 0
+        z = np.sort(self.standard(np.array([x for _, _, x in spans])))[::-1]
+        one = -np.log(np.maximum(-np.expm1(-np.exp(-z)), 1e-300)) - np.log(self.any_share)
+        # sum statistics: r segments of scores z come together with a chance of about exp(-T) T^(r-1) / (r! (r-1)!), T their sum
+        up = np.cumsum(z[z > 0])
+        r = np.arange(1, len(up) + 1)
+        log_factorial = np.cumsum(np.log(r))
+        several = up - (r - 1) * np.log(np.maximum(up, 1e-9)) + log_factorial + log_factorial - np.log(r)
+        return float(one[0]), float(max(one[0], several.max(initial=0.0))), int((one >= -np.log(self.significant)).sum())
+
+    def score(self, best: float, total: float) -> float:
         a, b, c = self.logistic
-        return float(1 / (1 + np.exp(-np.clip(a * best + b * np.log1p(total) + c, -50, 50))))
+        return float(1 / (1 + np.exp(-np.clip(a * min(best, MOST[0]) + b * min(total, MOST[1]) + c, -50, 50))))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
@@ -155,17 +177,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60)
     return w
 
 
-def train(rows: list[tuple[int, list[bytes]]], vocabulary: list[bytes], toxic: np.ndarray, clean: np.ndarray, prior: np.ndarray, strength: float, least_z: float, drift: float) -> Model:
-    """rows: (label, words) of the sample; toxic, clean, prior: counts of the vocabulary in the sample's classes and in all documents."""
+def weigh(vocabulary: list[bytes], toxic: np.ndarray, clean: np.ndarray, prior: np.ndarray, strength: float, least_z: float, drift: float) -> Model:
+    """Weights and lambda from counts of the vocabulary in the sample's classes and in all documents."""
     alpha = strength * (prior + 0.5) / (prior.sum() + 0.5 * len(prior)) + 1e-3
     n1, n0, a0 = toxic.sum(), clean.sum(), alpha.sum()
     odds = lambda c, n: np.log((c + alpha) / np.maximum(n + a0 - c - alpha, 1e-9))
     delta = odds(toxic, n1) - odds(clean, n0)
     z = delta / np.sqrt(1 / (toxic + alpha) + 1 / (clean + alpha))
     good = (z >= least_z) & (delta > drift)
-    model = Model({w: float(d) for w, d, g in zip(vocabulary, np.minimum(delta, 8.0), good, strict=True) if g}, drift)
-    # lambda from the scores of non-toxic tokens; words never seen there count as half an occurrence together
     weights = np.where(good, np.minimum(delta, 8.0), 0.0)
+    model = Model({vocabulary[i]: float(weights[i]) for i in np.flatnonzero(good)}, drift)
+    # lambda from the scores of non-toxic tokens; words never seen there count as half an occurrence together
     share = np.append((clean + 0.5 * good / max(1, good.sum())), max(1.0, n0))
     s = np.append(weights, 0.0) - drift
     share = share / share.sum()
@@ -174,13 +196,45 @@ def train(rows: list[tuple[int, list[bytes]]], vocabulary: list[bytes], toxic: n
         mid = (low + high) / 2
         low, high = (mid, high) if share @ np.exp(np.minimum(mid * s, 600)) < 1 else (low, mid)
     model.rate = max((low + high) / 2, 1e-3)
-    found = np.array([model.features(w) for _, w in rows])
-    labels = np.array([y for y, _ in rows], float)
-    best = found[labels == 0, 0]
-    model.spread = max(float(best.std()) * np.sqrt(6) / np.pi, 1e-3)
-    model.location = float(best.mean()) - 0.5772156649 * model.spread
-    found[:, 1] = np.log1p(found[:, 1])
-    model.logistic = tuple(float(v) for v in logistic(found, labels))
+    return model
+
+
+def gumbel(best: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    """(location, spread, share with a segment) of non-toxic documents' best scores; NOTHING stands for no segment.
+
+    The law goes through the weighted median and 95th percentile: neither minds the few documents whose label is wrong.
+    """
+    some = best > NOTHING
+    share = (weight[some].sum() + 0.5) / (weight.sum() + 1) if len(best) else 1.0
+    order = np.argsort(best[some])
+    x, w = best[some][order], weight[some][order]
+    if len(x) < 20:
+        return 0.0, 1.0, float(share)
+    middle, high = np.interp([0.5, 0.95], (np.cumsum(w) - w / 2) / w.sum(), x)
+    at = -np.log(-np.log([0.5, 0.95]))
+    spread = max((high - middle) / (at[1] - at[0]), 0.1)
+    return float(middle - at[0] * spread), float(spread), float(share)
+
+
+def train(rows: list[tuple[int, list[bytes]]], share: np.ndarray, fold: np.ndarray, vocabulary: list[bytes], counts: np.ndarray, prior: np.ndarray, strength: float, least_z: float, drift: float) -> Model:
+    """rows: (label, words) of the sample, with each one's share and fold; counts: (fold, label, word) of the sample; prior: of all documents."""
+    if not len(vocabulary):
+        return Model()
+    labels = np.array([y for y, _ in rows])
+    whole = counts.sum(0)
+    model = weigh(vocabulary, whole[1], whole[0], prior, strength, least_z, drift)
+    aside: list[list] = [[] for _ in rows]
+    for f in range(FOLDS):
+        mine = np.flatnonzero(fold == f)
+        if len(mine):
+            others = weigh(vocabulary, whole[1] - counts[f][1], whole[0] - counts[f][0], prior, strength, least_z, drift)
+            for i in mine:
+                aside[i] = others.spans(rows[i][1])
+    best = np.array([max((x for _, _, x in spans), default=NOTHING) for spans in aside])
+    clean = labels == 0
+    model.location, model.spread, model.any_share = gumbel(best[clean], share[clean])
+    found = np.array([model.features(spans)[:2] for spans in aside])
+    model.logistic = tuple(float(v) for v in logistic(np.minimum(found, MOST), labels.astype(float)))
     return model
 
 
@@ -188,7 +242,7 @@ def held_out():
     return common.crc_mod("doc_id", 3) == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_words: int = 60_000, strength: float = 2000.0, least_z: float = 3.0, drift: float = 0.5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, strength: float = 2000.0, least_z: float = 3.0, drift: float = 0.5) -> Model:
     draw = F.xxhash64(F.col("doc_id"), F.lit(23))
     known = labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -197,20 +251,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_words: int
         picked |= {r["doc_id"]: kind for r in known.filter(F.col("toxic") == kind).select("doc_id").orderBy(draw, "doc_id").limit(max_rows).collect()}
     if len(set(picked.values())) < 2:
         return Model()
-    # each sampled row's words by count are enough for the weights; the scan needs their order
     rows = []
     sample = docs.select("doc_id", "text").filter(F.col("doc_id").isin(list(picked)) & F.col("text").isNotNull())
     for r in sample.orderBy(draw, "doc_id", "text").limit(3 * max_rows).toLocalIterator():
         rows.append((picked[r["doc_id"]], common.words_of(r["text"])))
-    counts: dict[bytes, list[float]] = {}
-    for (y, words), part in zip(rows, copies([w for _, w in rows]), strict=True):
+    share, fold = copies([w for _, w in rows])
+    # words that could weigh: those of toxic documents
+    vocabulary = sorted({k for y, words in rows if y for w in set(words) for k in token_keys(w)})
+    index = {w: i for i, w in enumerate(vocabulary)}
+
+    counts = np.zeros((FOLDS, 2, len(vocabulary)))
+    for (y, words), part, f in zip(rows, share, fold, strict=True):
         for w, n in Counter(words).items():
             for k in token_keys(w):
-                counts.setdefault(k, [0.0, 0.0])[y] += n * part
-    # the words that could weigh: in the toxic class most often in proportion, then by spelling
-    ranked = sorted((w for w, c in counts.items() if c[1]), key=lambda w: (-counts[w][1], w))[:max_words]
-    vocabulary = sorted(ranked)
-    index = {w: i for i, w in enumerate(vocabulary)}
+                if k in index:
+                    counts[f, y, index[k]] += n * part
 
     def add(total, seen):
         for w, n in seen.items():
@@ -237,8 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_words: int
     prior = np.zeros(len(vocabulary))
     everywhere = common.map_arrow(docs.select("text"), "word int, n long", count_words).groupBy("word").agg(F.sum("n").alias("n")).toPandas()
     prior[everywhere["word"]] = everywhere["n"]
-    both = np.array([counts[w] for w in vocabulary], float)
-    return train(rows, vocabulary, both[:, 1], both[:, 0], prior, strength, least_z, drift)
+    return train(rows, share, fold, vocabulary, counts, prior, strength, least_z, drift)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -252,7 +306,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     words = common.words_of(text.as_py())
                     spans = model.spans(words)
                     top = max(spans, key=lambda x: (x[2], -x[0]), default=None)
-                    out.append((model.score(words), sum(x[2] > model.significant for x in spans), top[0] if top else None, top[1] if top else None, model.p_value(top[2]) if top else 1.0))
+                    best, total, n = model.features(spans)
+                    out.append((model.score(best, total), n, top[0] if top else None, top[1] if top else None, float(np.exp(-best))))
                 cols = list(zip(*out, strict=True)) or [()] * 5
                 kinds = (pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
                 yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "score", "segments", "best_start", "best_stop", "p_value"])
