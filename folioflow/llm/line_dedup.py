@@ -13,13 +13,12 @@
 4. What is found goes back as an array of dropped keys per document, and a second pass over the texts
    rebuilds them.
 
-Skew: a key that more than one document in ``hot_part`` holds is answered from a broadcast instead of its
-shard. There are fewer than hot_part * lines-per-document such keys by counting alone, and the list
-is cut off by its threshold, never by a cap: the threshold is (key, document) pairs / hot_part, so at
-most hot_part keys can reach it. All other keys have at most that many probes.
+Every answer comes from the arrays. Skew: a shard that gets more than ``most`` probes, which is PROBES or one HOT_PART-th of
+all probes if that is more, has its index row copied, and its probes are dealt over the copies by document. By counting alone
+fewer than HOT_PART shards can be that hot, so their list is broadcast, and there are fewer than 2 * HOT_PART copies.
 
 Defined results: null or empty text is one empty line; repeated doc_ids hold lines as one document but
-are rebuilt row by row; a null doc_id is one document before all others; extra columns are kept by
+are rebuilt row by row; a row without doc_id is no holder of its lines and keeps them all; extra columns are kept by
 ``dedup_lines``; an empty table gives an empty result.
 """
 
@@ -38,6 +37,7 @@ from . import common
 MIN_CHARS = 40
 MIN_DOCS = 5
 KEYS_PER_SHARD = 200_000
+PROBES = 2_000_000
 HOT_PART = 4096
 STRIP = common.BLANKS.encode()
 
@@ -136,7 +136,7 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
             for b in batches:
                 ids, a, c = [], [], []
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    if (t := text.as_py()) is None:
+                    if doc is None or (t := text.as_py()) is None:
                         continue
                     seen = {k for _, k in _keys(t, min_chars) if k}
                     ids += [doc] * len(seen)
@@ -153,7 +153,7 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 INDEX = "data binary"  # one value: many null arrays beside each probe are slow to hand over
 
 
-def build_index(counts: DataFrame, shards: int, least: int) -> DataFrame:
+def build_index(counts: DataFrame, shards: int) -> DataFrame:
     """counts(h1, h2, n, top) -> one row a shard: the perfect hash and its arrays. Group size is bounded by the choice of shards."""
 
     def shard(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
@@ -172,12 +172,17 @@ def build_index(counts: DataFrame, shards: int, least: int) -> DataFrame:
     return counts.withColumn("shard", F.pmod("h1", F.lit(shards))).groupBy("shard").applyInArrow(shard, f"shard long, {INDEX}")
 
 
-def probe(index: DataFrame, probes: DataFrame, shards: int, least: int) -> DataFrame:
-    """probes(h1, h2, doc_id) against the arrays of their shard -> (doc_id, h1, h2) to drop."""
+def probe(index: DataFrame, probes: DataFrame, loads: DataFrame, shards: int, most: int, least: int) -> DataFrame:
+    """probes(h1, h2, doc_id) against the arrays of their shard -> (doc_id, h1, h2) to drop; loads(shard, probes)."""
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in index.schema.fields[1:]]
-    laid = index.withColumns({c: F.lit(None).cast("long") for c in ("h1", "h2", "doc_id")}).withColumn("kind", F.lit(0))
-    asked = probes.select(F.pmod("h1", F.lit(shards)).alias("shard"), *empty, "h1", "h2", "doc_id", F.lit(1).alias("kind"))
-    both = laid.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind")
+    hot = loads.filter(F.col("probes") > most).select("shard", F.ceil(F.col("probes") / F.lit(most)).cast("int").alias("copies"))
+    copy = F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))
+    laid = index.join(F.broadcast(hot), "shard", "left").withColumn("copy", copy).drop("copies")
+    laid = laid.withColumns({c: F.lit(None).cast("long") for c in ("h1", "h2", "doc_id")}).withColumn("kind", F.lit(0))
+    asked = probes.withColumn("shard", F.pmod("h1", F.lit(shards))).join(F.broadcast(hot), "shard", "left")
+    dealt = F.pmod(F.xxhash64("doc_id"), F.coalesce("copies", F.lit(1))).cast("int")
+    asked = asked.select("shard", *empty, dealt.alias("copy"), "h1", "h2", "doc_id", F.lit(1).alias("kind"))
+    both = laid.unionByName(asked).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind").drop("copy")
 
     def make():
         state: dict = {}
@@ -194,7 +199,7 @@ def probe(index: DataFrame, probes: DataFrame, shards: int, least: int) -> DataF
                         continue
                     part = b.slice(start, stop - start)
                     h1, h2 = (part.column(c).to_numpy().astype(np.uint64) for c in ("h1", "h2"))
-                    doc = part.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
+                    doc = part.column("doc_id").to_numpy()
                     at = state["mph"](h1 ^ _mix(h2, 63))
                     found = at >= 0
                     at = np.where(found, at, 0)
@@ -213,16 +218,12 @@ def find_drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     if not 1 <= min_docs <= 255:
         raise ValueError("min_docs must be from 1 to 255: the count array saturates there")
     pairs = common.materialise(line_keys(docs, min_chars).distinct(), "line-keys")
-    least = F.lit(np.iinfo(np.int64).min)
-    counts = common.materialise(pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("doc_id", least)).alias("top")), "line-counts")
+    counts = common.materialise(pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")), "line-counts")
     sums = counts.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")).first()
     shards = max(1, -(-sums["keys"] // KEYS_PER_SHARD))
-    hot = counts.filter((F.col("n") > max(min_docs - 1, sums["pairs"] // HOT_PART)) & (F.col("n") >= min_docs))  # at most HOT_PART keys can be that frequent
-    few = F.broadcast(hot.select("h1", "h2", F.col("top").alias("hot_top")))
-    asked = pairs.join(few, ["h1", "h2"], "left")
-    answered = asked.filter(F.col("hot_top").isNotNull() & (F.coalesce("doc_id", least) != F.col("hot_top"))).select("doc_id", "h1", "h2")
-    index = build_index(counts, shards, min_docs)
-    return answered.unionByName(probe(index, asked.filter(F.col("hot_top").isNull()).select("h1", "h2", "doc_id"), shards, min_docs))
+    loads = counts.groupBy(F.pmod("h1", F.lit(shards)).alias("shard")).agg(F.sum("n").alias("probes"))
+    most = max(PROBES, sums["pairs"] // HOT_PART)
+    return probe(build_index(counts, shards), pairs, loads, shards, most, min_docs)
 
 
 def rebuild(docs: DataFrame, drops: DataFrame, min_chars: int, fields: str, emit) -> DataFrame:
@@ -230,8 +231,11 @@ def rebuild(docs: DataFrame, drops: DataFrame, min_chars: int, fields: str, emit
     import pyspark.sql.types as T
 
     lost = drops.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("lost")).withColumnRenamed("doc_id", "__doc")
-    joined = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")), "left").drop("__doc").withColumnRenamed("lost", "__lost")
+    # rows without doc_id lose nothing: they meet no key, and are dealt out by their texts
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).withColumn("__id", F.col("doc_id").isNotNull())
+    lost = lost.select(F.col("__doc").alias("__key"), F.lit(True).alias("__id"), F.col("lost").alias("__lost"))
     names = docs.columns
+    joined = keyed.join(lost, ["__key", "__id"], "left").select(*[F.col(f"`{c}`") for c in names], "__lost")
     added = T._parse_datatype_string(fields)
     schema = T.StructType([*docs.schema.fields, *added.fields])
     where = names.index("text")
