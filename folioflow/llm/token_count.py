@@ -6,8 +6,10 @@ is the one with the largest sum of scores; of equal ones, that whose last piece
 
 A text is cut into pre-tokens by the vocabulary's pattern. Each task keeps the counts of the pre-tokens it has seen;
 the new ones of a batch are sorted, which lays out their trie: a node is a prefix, and its best score is worked out
-once for all pre-tokens that share it, one depth at a time over all nodes of that depth. Counts are kept at the
-terminals. Memory is bounded: at most ``remember`` pre-tokens are kept by a task and ``at_once`` go into one trie.
+once for all pre-tokens that share it. Short ones (up to ``LONG`` bytes) are worked out one depth at a time over all nodes
+of that depth; longer ones follow their path through the trie, from where it leaves the one before. Counts are kept at
+the terminals. Memory is bounded: at most ``remember`` pre-tokens are kept by a task, ``at_once`` go into one trie, and
+a long one's scores are kept for its first ``SHARED`` bytes only (what is shared beyond them is worked out again).
 
 Defined results: null or empty text has no pre-tokens and no tokens; repeated rows are counted separately; extra
 columns are ignored; an empty table gives an empty result.
@@ -26,6 +28,8 @@ from . import common
 from .packing import byte_letters, default_vocabulary
 
 LONG = 48
+SHARED = 1 << 18
+PIECE = 1 << 16  # bytes of a long pre-token whose matches are looked up at once
 FACTOR = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -36,6 +40,12 @@ def read_pieces(path: str) -> dict[bytes, float]:
     return {bytes(letters[c] for c in t): -float(np.log(rank + 2)) for t, rank in spec["model"]["vocab"].items() if t not in special}
 
 
+def shared_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    unlike = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)
+    return int(unlike.argmax()) if unlike.any() else n
+
+
 class TrieCounter:
     """Numbers of pieces in the best segmentations of byte strings."""
 
@@ -47,8 +57,6 @@ class TrieCounter:
         for p in pieces:
             lengths.setdefault(len(p), []).append(p)
         for n, group in lengths.items():
-            if n > LONG:
-                continue
             m = np.frombuffer(b"".join(group), np.uint8).reshape(-1, n).astype(np.uint64) + np.uint64(1)
             h = np.zeros(len(group), np.uint64)
             for i in range(n):
@@ -59,25 +67,60 @@ class TrieCounter:
                 raise ValueError("two pieces share a hash")
             self.by_length[n] = h, np.array([pieces[p] for p in group])[order]
 
-    def one(self, word: bytes) -> int:
-        """The same for one string, without a trie; for very long ones."""
-        best, count = [0.0], [0]
-        for d in range(1, len(word) + 1):
-            top, n = -np.inf, 0
-            for k in range(1, min(d, self.longest) + 1):
-                s = self.pieces.get(word[d - k : d])
-                if s is not None and best[d - k] + s > top:
-                    top, n = best[d - k] + s, count[d - k] + 1
-            best.append(top)
-            count.append(n)
-        return count[-1]
+    def matches(self, word: bytes, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where it ends, its length, its score) of each piece that ends in word[start:stop], by end and length."""
+        low = max(0, start - self.longest)
+        x = np.frombuffer(word, np.uint8)[low:stop].astype(np.uint64) + np.uint64(1)
+        ends = np.arange(start + 1, stop + 1)
+        h = np.zeros(len(ends), np.uint64)
+        found = []
+        power = np.uint64(1)
+        for k in range(1, min(self.longest, stop) + 1):
+            # one more byte on the left: those too near the word's start drop out
+            if k > start + 1:
+                ends, h = ends[1:], h[1:]
+            h = h + x[ends - k - low] * power
+            power = np.uint64(int(power) * int(FACTOR) & 0xFFFFFFFFFFFFFFFF)
+            if k in self.by_length:
+                known, scores = self.by_length[k]
+                i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = np.flatnonzero(known[i] == h)
+                found.append((ends[hit], np.full(len(hit), k), scores[i[hit]]))
+        end, length, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((length, end))
+        return end[order], length[order], score[order]
+
+    def long(self, word: bytes, at: int, best: list[float], count: list[int]) -> int:
+        """The count of a long string, whose first `at` bytes best and count cover already; both are kept up to SHARED bytes."""
+        del best[at + 1 :], count[at + 1 :]
+        recent, number = best[-self.longest - 1 :], count[-self.longest - 1 :]
+        for start in range(at, len(word), PIECE):
+            stop = min(start + PIECE, len(word))
+            now, top, n = start + 1, -np.inf, 0
+            for end, k, s in zip(*(c.tolist() for c in self.matches(word, start, stop)), strict=True):
+                if end != now:
+                    recent.append(top)
+                    number.append(n)
+                    now, top, n = end, -np.inf, 0
+                # recent ends with the state before `end`
+                if recent[-k] + s > top:
+                    top, n = recent[-k] + s, number[-k] + 1
+            recent.append(top)
+            number.append(n)
+            if len(best) <= SHARED:
+                best += recent[len(recent) - (stop - start) :]
+                count += number[len(number) - (stop - start) :]
+            del recent[: -self.longest - 1], number[: -self.longest - 1]
+        return number[-1]
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         """Counts for words, distinct, sorted and not empty."""
         out = np.zeros(len(words), np.int64)
         size = np.array([len(w) for w in words])
+        before, best, counted = b"", [0.0], [0]
         for i in np.flatnonzero(size > LONG):
-            out[i] = self.one(words[i])
+            shared = min(len(best) - 1, shared_prefix(before, words[i]))
+            out[i], before = self.long(words[i], shared, best, counted), words[i]
         short = np.flatnonzero(size <= LONG)
         if not len(short):
             return out
