@@ -19,12 +19,13 @@ It is an equi-join of exploded n-grams with n-gram count tables, done in blocks
    gets its total. An n-gram in all documents is only one entry a chunk.
 3. Totals return to their chunk, beside its texts (compressed), where positions look them up and documents sum.
 
-Counts cover all documents; what is shuffled grows in proportion. A chunk checks that it got as many totals as it
-asked for.
+Counts cover all documents; what is shuffled grows in proportion. A chunk's name is its partition and its place there;
+each answer carries a digest of the chunk that asked, ids and words in order, and is compared with the chunk it meets.
 
 Defined results: null text or text without words has 0 words, sum 0 and a null mean; repeated rows are separate
 documents, each of which counts for the other; extra columns are ignored; an empty table gives an empty result.
-``docs`` must be a scan, or anything that gives the same rows in the same partitions when read twice.
+``docs`` must be a scan, or anything that gives the same rows in the same partitions when read twice; where it does not,
+the digests differ and the job stops.
 """
 
 from __future__ import annotations
@@ -135,6 +136,15 @@ def in_a_row(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
+def chunk_digest(ids: list, h: np.ndarray, starts: np.ndarray) -> int:
+    """Names a chunk's documents and words, in their order."""
+    import pickle
+
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(pickle.dumps(ids) + starts.tobytes() + h.tobytes()) - (1 << 63)
+
+
 def own_counts(i: np.ndarray) -> np.ndarray:
     """How often each element occurs."""
     order = np.argsort(i)
@@ -205,8 +215,9 @@ def score(docs: DataFrame, chunk_words: int = CHUNK_WORDS, bucket_entries: int =
                 h = word_hashes(text, hashes)
                 return len(h), h
 
-            for serial, _, parts in chunks(batches, chunk_words, read):
+            for serial, ids, parts in chunks(batches, chunk_words, read):
                 h, starts = in_a_row(parts)
+                name = chunk_digest(ids, h, starts)
                 values, counts = distinct_sorted(gram_hashes(h, starts[:-1]))
                 bucket = (values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
                 cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
@@ -214,12 +225,12 @@ def score(docs: DataFrame, chunk_words: int = CHUNK_WORDS, bucket_entries: int =
                 for b in range(1 << bits):
                     if cuts[b] < cuts[b + 1]:
                         part = slice(cuts[b], cuts[b + 1])
-                        rows.append((b, (task << 32) + serial, *codec.hashes(values[part]), codec.numbers(counts[part])))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "gaps", "low", "counts"])
+                        rows.append((b, (task << 32) + serial, name, *codec.hashes(values[part]), codec.numbers(counts[part])))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "name", "gaps", "low", "counts"])
 
         return run
 
-    asked = common.map_arrow(docs, "bucket int, chunk long, gaps binary, low binary, counts binary", explode)
+    asked = common.map_arrow(docs, "bucket int, chunk long, name long, gaps binary, low binary, counts binary", explode)
 
     def count(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         codec = Codec()
@@ -233,9 +244,9 @@ def score(docs: DataFrame, chunk_words: int = CHUNK_WORDS, bucket_entries: int =
         group = np.empty(len(every), np.int64)
         group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(every))))
         totals, cuts = sums[group], np.cumsum([len(p) for p in parts])[:-1]
-        return pa.table({"chunk": pa.array(chunk, pa.int64()), "kind": pa.array([1] * len(chunk), pa.int32()), "bucket": pa.array([key[0].as_py()] * len(chunk), pa.int32()), "data": pa.array([codec.pack(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()) for x in np.split(totals, cuts)], pa.binary())})
+        return pa.table({"chunk": pa.array(chunk, pa.int64()), "name": t.column("name"), "kind": pa.array([1] * len(chunk), pa.int32()), "bucket": pa.array([key[0].as_py()] * len(chunk), pa.int32()), "data": pa.array([codec.pack(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()) for x in np.split(totals, cuts)], pa.binary())})
 
-    answers = asked.groupBy("bucket").applyInArrow(count, "chunk long, kind int, bucket int, data binary")
+    answers = asked.groupBy("bucket").applyInArrow(count, "chunk long, name long, kind int, bucket int, data binary")
 
     def keep_texts():
         import pickle
@@ -247,11 +258,11 @@ def score(docs: DataFrame, chunk_words: int = CHUNK_WORDS, bucket_entries: int =
         def run(batches):
             for serial, ids, texts in chunks(batches, chunk_words, lambda t: (len(common.words_of(t)), t)):
                 data = codec.pack(pickle.dumps((ids, texts)))
-                yield pa.record_batch([pa.array([(task << 32) + serial]), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([data], pa.binary())], ["chunk", "kind", "bucket", "data"])
+                yield pa.record_batch([pa.array([(task << 32) + serial]), pa.array([None], pa.int64()), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([data], pa.binary())], ["chunk", "name", "kind", "bucket", "data"])
 
         return run
 
-    texts = common.map_arrow(docs, "chunk long, kind int, bucket int, data binary", keep_texts)
+    texts = common.map_arrow(docs, "chunk long, name long, kind int, bucket int, data binary", keep_texts)
     laid = texts.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
 
     def total():
@@ -259,12 +270,12 @@ def score(docs: DataFrame, chunk_words: int = CHUNK_WORDS, bucket_entries: int =
 
         hashes, codec = common.WordHashes(), Codec()
 
-        def finish(docs, totals):
+        def finish(docs, totals, names):
             ids, texts = pickle.loads(codec.unpack(docs))
             h, starts = in_a_row([word_hashes(t, hashes) for t in texts])
             values, at = numbered(gram_hashes(h, starts[:-1]))
             totals = np.concatenate(totals)
-            if len(totals) != len(values):
+            if names != {chunk_digest(ids, h, starts)} or len(totals) != len(values):
                 raise RuntimeError("the documents came in other partitions when read again")
             n = np.diff(starts)
             logs = score_chunk(starts, values, at, totals)
@@ -272,20 +283,21 @@ def score(docs: DataFrame, chunk_words: int = CHUNK_WORDS, bucket_entries: int =
             return pa.record_batch([pa.array(ids, pa.int64()), pa.array(n), pa.array(logs), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_score", "mean_log_score"])
 
         def run(batches):
-            now, docs, totals = None, None, []
+            now, docs, totals, names = None, None, [], set()
             for b in batches:
-                for chunk, kind, data in zip(*(b.column(c) for c in ("chunk", "kind", "data")), strict=True):
+                for chunk, name, kind, data in zip(*(b.column(c) for c in ("chunk", "name", "kind", "data")), strict=True):
                     chunk = chunk.as_py()
                     if chunk != now:
                         if now is not None:
-                            yield finish(docs, totals)
-                        now, docs, totals = chunk, None, []
+                            yield finish(docs, totals, names)
+                        now, docs, totals, names = chunk, None, [], set()
                     if kind.as_py() == 0:
                         docs = data.as_py()
                     else:
+                        names.add(name.as_py())
                         totals.append(np.ascontiguousarray(np.frombuffer(codec.unpack(data.as_py()), np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64))
             if now is not None:
-                yield finish(docs, totals)
+                yield finish(docs, totals, names)
 
         return run
 
