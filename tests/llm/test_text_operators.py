@@ -79,6 +79,17 @@ def test_lm_score_against_counting(docs, corpus):
             assert (near["mean_log_score"] is None) == (not w)
 
 
+def test_lm_chunk_digest_tells_orders_apart():
+    h, starts = np.arange(6, dtype=np.uint64), np.array([0, 2, 6])
+    one = lm_score.chunk_digest([1, 2], h, starts)
+    assert one == lm_score.chunk_digest([1, 2], h.copy(), starts.copy())
+    assert len({one, lm_score.chunk_digest([2, 1], h, starts), lm_score.chunk_digest([1, 2], h[::-1].copy(), starts), lm_score.chunk_digest([1, 2], h, np.array([0, 3, 6])), lm_score.chunk_digest([None, 2], h, starts)}) == 5
+
+
+def test_lm_score_empty(empty):
+    assert lm_score.score(empty).count() == 0
+
+
 def test_lm_hash_codec():
     codec = lm_score.Codec()
     x = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 999, np.uint64) & lm_score.KEPT)
@@ -135,12 +146,12 @@ def brute_lines(corpus, min_docs=5, min_chars=40):
     holders = defaultdict(set)
     for i, text, *_ in corpus:
         for line in (text or "").split("\n"):
-            if len(key(line)) >= min_chars:
+            if len(key(line)) >= min_chars and i is not None:
                 holders[key(line)].add(i)
-    top = {k: max((x for x in v if x is not None), default=None) for k, v in holders.items() if len(v) >= min_docs}
+    top = {k: max(v) for k, v in holders.items() if len(v) >= min_docs}
     for i, text, *_ in corpus:
         lines = (text or "").split("\n")
-        kept = [x for x in lines if not (key(x) in top and top[key(x)] != i)]
+        kept = [x for x in lines if i is None or not (key(x) in top and top[key(x)] != i)]
         yield i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()
 
 
@@ -148,9 +159,9 @@ def test_line_dedup(docs, corpus, monkeypatch):
     want = sorted(map(str, brute_lines(corpus)))
     assert any(int(w.split(",")[2]) for w in want)
     assert sorted(str(tuple(r)) for r in line_dedup.digests(docs).collect()) == want
-    # many shards, and no key answered from the broadcast
+    # many shards, and copies of those that get more than two probes
     monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 3)
-    monkeypatch.setattr(line_dedup, "HOT_PART", 1)
+    monkeypatch.setattr(line_dedup, "PROBES", 2)
     assert sorted(str(tuple(r)) for r in line_dedup.digests(docs).collect()) == want
     assert line_dedup.dedup_lines(docs).columns == docs.columns
 
@@ -346,11 +357,43 @@ def test_search_empty(docs, empty):
     assert search.search(empty, asked.filter("doc_id = 1")).count() == 0
 
 
+def plain_count(pieces, word):
+    """Pieces of the best segmentation, by a table over all prefixes."""
+    longest = max(map(len, pieces))
+    table = [(0.0, 0)]
+    for end in range(1, len(word) + 1):
+        options = [(table[start][0] + pieces[word[start:end]], -(end - start), table[start][1] + 1) for start in range(max(0, end - longest), end) if word[start:end] in pieces]
+        score, _, n = max(options)
+        table.append((score, n))
+    return table[-1][1]
+
+
+def test_token_counts_of_long_pretokens(monkeypatch):
+    """Long strings that share prefixes, over the bounds of what is looked up and kept at once."""
+    import random
+    import time
+
+    rng = random.Random(4)
+    pieces = token_count.read_pieces(packing.default_vocabulary())
+    counter = token_count.TrieCounter(pieces)
+    base = bytes(rng.choice(b"etaoinsh") for _ in range(900))
+    words = sorted({base[:n] + bytes(rng.choice(b"xyz ") for _ in range(m)) for n, m in ((60, 5), (60, 300), (49, 0), (48, 0), (47, 3), (500, 1), (500, 400), (900, 0), (100, 0), (700, 50))} | {b"a" * 130, b" " * 200, "ä日".encode() * 40})
+    want = [plain_count(pieces, w) for w in words]
+    assert counter(words).tolist() == want
+    monkeypatch.setattr(token_count, "PIECE", 37)
+    monkeypatch.setattr(token_count, "SHARED", 90)
+    assert counter(words).tolist() == want
+    monkeypatch.undo()
+    began = time.perf_counter()
+    assert counter([b"x" * 1_000_000])[0] > 0
+    assert time.perf_counter() - began < 30
+
+
 def test_token_counts_against_plain_search(docs, corpus):
     import public_tokenizers
     import regex
 
-    counter = token_count.TrieCounter(token_count.read_pieces(packing.default_vocabulary()))
+    pieces = token_count.read_pieces(packing.default_vocabulary())
     split = regex.compile(public_tokenizers.PATTERN).findall
     memo = {}
     want = Counter()
@@ -358,7 +401,7 @@ def test_token_counts_against_plain_search(docs, corpus):
         parts = split(text or "")
         for p in parts:
             if p not in memo:
-                memo[p] = counter.one(p.encode())
+                memo[p] = plain_count(pieces, p.encode())
         want[i, len(parts), sum(memo[p] for p in parts)] += 1
     for options in ({}, {"remember": 5, "at_once": 3}):
         assert Counter(tuple(r) for r in token_count.count_tokens(docs, **options).collect()) == want
