@@ -2,15 +2,16 @@
 
 * Features: lower-cased text with every run of non-letters as one blank; its 1-, 2- and 3-grams are hashed into
   ``buckets`` places and counted; (1 + ln count) * idf, scaled to unit length. Counting is vectorised over
-  code points, in pieces of 2^20 characters (grams do not span pieces).
+  code points, in pieces whose last two code points go into the next, so that grams span pieces.
 * idf comes from the document frequencies of *all* training rows, summed by bucket on the executors.
 * Weights: follow-the-regularised-leader with per-coordinate steps and elastic-net penalties (l1 makes them
-  sparse), on a sample that a hash of the id draws evenly over languages. The sample is bounded by ``max_rows``
-  (hard) and ``per_class`` (on average); so are the languages by ``max_classes``, the most frequent first.
+  sparse), on a sample that a hash of id and text draws from each language: its ``per_class`` smallest, or max_rows / languages
+  if that is less, but ``per_class_least`` at any rate. So every language that has labelled rows is learned, and the sample is
+  bounded by max_rows, or per_class_least rows a language where there are very many.
 * A fifth of the sample is kept from the weights and fits one temperature by likelihood; score is the largest
   calibrated probability.
 
-What is sent to the executors is bounded: max_classes x buckets floats.
+What is sent to the executors is bounded: languages x buckets floats.
 
 Defined results: ``und`` with score 0 for null text, text without letters, or when nothing could be learned;
 null lang rows are never learned from; repeated doc_ids are separate rows; a null doc_id is never held out; extra
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -48,24 +50,28 @@ class Grams:
 
     def __call__(self, text: str | None) -> np.ndarray | None:
         """Counts by bucket; None if there is no letter."""
-        total, any_letter = None, False
-        for at in range(0, len(text or ""), PIECE):
-            c = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        total, low = None, (text or "").lower()
+        tail = np.full(1, 32, np.uint32)  # the code points before a piece, of which no gram is counted again
+        for at in range(0, len(low), PIECE):
+            c = np.frombuffer(low[at : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
             letter = self.letter[c]
-            if not letter.any():
-                continue
-            any_letter = True
             c = np.where(letter, c, np.uint32(32))
             keep = letter.copy()
             keep[1:] |= letter[:-1]  # of a run of blanks, the first
-            c = np.concatenate([[np.uint32(32)], c[keep]]).astype(np.uint32)
+            keep[0] |= tail[-1] != 32
+            c = np.concatenate([tail, c[keep]]).astype(np.uint32)
+            old = len(tail)
+            if total is None and not letter.any():
+                continue
             a, b, d = (c * f for f in self.FACTORS)
             two = (a[:-1] ^ (b[1:] + (b[1:] >> np.uint32(15)))) * np.uint32(0x27D4EB2F)
             three = (two[:-1] ^ (d[2:] + (d[2:] >> np.uint32(13)))) * np.uint32(0x165667B1)
-            codes = np.concatenate([a[letter_of(c)], two, three]) >> self.shift
+            fresh = c[old:]
+            codes = np.concatenate([a[old:][letter_of(fresh)], two[old - 1 :], three[max(old - 2, 0) :]]) >> self.shift
             counts = np.bincount(codes, minlength=self.buckets)
             total = counts if total is None else total + counts
-        return total if any_letter else None
+            tail = c[-2:]
+        return total
 
 
 def letter_of(c: np.ndarray) -> np.ndarray:
@@ -144,6 +150,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], df: np.ndarray, docume
     for _ in range(epochs):
         for i in rng.permutation(len(kept)):
             learner.learn(kept[i][1], kept[i][2], kept[i][0])
+    if not data:
+        return Model([], np.zeros((0, len(df))), np.zeros(0), idf)
     w = learner.weights()
     model.weights, model.bias = w[:, :-1], w[:, -1]
     model.temperature = temperature([(y, w[:, at] @ x) for y, at, x in aside])
@@ -168,12 +176,13 @@ def temperature(scored: list[tuple[int, np.ndarray]]) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def fit(docs: DataFrame, held_out, per_class: int = 600, max_rows: int = 4000, max_classes: int = 64, buckets: int = BUCKETS) -> Model:
+def fit(docs: DataFrame, held_out, per_class: int = 600, max_rows: int = 4000, per_class_least: int = 5, buckets: int = BUCKETS) -> Model:
     """Learn from text and non-null lang of the rows that are not held_out (a column expression)."""
     known = docs.select("doc_id", "text", "lang").filter(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_classes).collect()
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return train([], np.zeros(buckets), 0)
+    each = max(per_class_least, min(per_class, max_rows // len(sizes)))
     # document frequencies of all training rows
 
     def count_df():
@@ -196,11 +205,13 @@ def fit(docs: DataFrame, held_out, per_class: int = 600, max_rows: int = 4000, m
     df, inside = np.zeros(buckets), totals["bucket"] >= 0
     df[totals["bucket"][inside]] = totals["n"][inside]
     documents = int(totals["n"][~inside].sum())
-    # the sample: a hash of the id against each language's share, then at most max_rows
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_000_007))
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_class / r["count"])))])
+    # the sample: a language's rows of smallest draw. A draw that some three times as many rows have thins them out first
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11), F.col("text")), F.lit(1_000_000_007))
+    share = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, (3 * each + 60) / n)))])
     drawn = known.withColumn("draw", draw).filter(F.col("draw") < F.element_at(share, F.col("lang")) * 1_000_000_007)
-    chosen = drawn.select("draw").orderBy("draw").limit(max_rows).agg(F.max("draw")).first()[0]
+    place = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
+    cuts = drawn.select("lang", "draw").distinct().withColumn("place", place).filter(F.col("place") <= each).groupBy("lang").agg(F.max("draw").alias("cut")).collect()
+    cut = F.create_map(*[x for r in cuts for x in (F.lit(r["lang"]), F.lit(r["cut"]))])
 
     def sample_features():
         grams = Grams(buckets)
@@ -218,8 +229,8 @@ def fit(docs: DataFrame, held_out, per_class: int = 600, max_rows: int = 4000, m
 
         return run
 
-    picked = drawn.filter(F.col("draw") <= (chosen if chosen is not None else -1)).select("draw", "lang", "text")
-    sample = common.map_arrow(picked, "draw long, lang string, at binary, counts binary", sample_features).orderBy("draw", "lang", "at", "counts").limit(max_rows).collect()
+    picked = drawn.filter(F.col("draw") <= F.element_at(cut, F.col("lang"))).select("draw", "lang", "text")
+    sample = common.map_arrow(picked, "draw long, lang string, at binary, counts binary", sample_features).orderBy("draw", "lang", "at", "counts").limit(2 * each * len(sizes)).collect()
     rows = [(sys.intern(r["lang"]), np.frombuffer(r["at"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in sample]
     return train(rows, df, documents)
 
