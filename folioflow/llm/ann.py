@@ -11,11 +11,16 @@
 
 Blocks bound memory: ``block`` vectors each. Equal vectors of a block are indexed once, with their k+1 smallest
 ids; others can't be among k results, as ties go to the smaller id. Queries are a stated set (ids divisible by
-``every``), sent block by block to each block of codes.
+``every``). Blocks of queries meet blocks of codes on a grid: each cell is a group of up to ``GROUP`` query blocks, held in
+memory, past which a group of code blocks streams. What is shuffled is codes x groups of queries and queries x groups of codes.
+
+The centre is the mean of a dimension's vectors for the ``CENTRES`` dimensions that most vectors have, and 0 for others; it
+sharpens estimates and decides nothing.
 
 Defined results: vectors that are null, of length 0, zero, or hold null or non-finite components take no part; only
 vectors of equal dimension are compared; a query's own id is no candidate, in any row; a query with fewer than k
-candidates gets all; repeated ids are separate candidates; extra columns are ignored; an empty table gives none.
+candidates gets all; repeated ids are separate candidates, but are asked once, with their smallest vector (by its first
+component, then the next); extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,11 +28,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 
 BLOCK = 4096
+GROUP = 16
+CELLS = 256  # wanted at least, before groups become larger than one block
+CENTRES = 64
 EPS = 1.9  # the bound then fails for about one vector in twenty far from the threshold, one in hundreds of near ones
 
 
@@ -37,6 +46,21 @@ def rotation(d: int, seed: int = 13) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+class Frames:
+    """Centre and rotation of each dimension, made when first asked for."""
+
+    def __init__(self, centre: dict[int, np.ndarray]):
+        self.centre, self.turns = centre, {}
+
+    def __call__(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        if d not in self.turns:
+            if len(self.turns) >= CENTRES:
+                self.turns.clear()
+            self.turns[d] = rotation(d)
+        centre = self.centre.get(d)
+        return np.zeros(d) if centre is None else centre, self.turns[d]
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v array<double>, d): vectors that take part."""
     v = F.col("v")
@@ -65,7 +89,7 @@ def blocks(vectors: DataFrame, centre: dict[int, np.ndarray], block: int, copies
     def make():
         from pyspark import TaskContext
 
-        turns = {d: rotation(d) for d in centre}
+        frames = Frames(centre)
         task = TaskContext.get().partitionId()
 
         def flush(d, ids, x, serial):
@@ -82,7 +106,7 @@ def blocks(vectors: DataFrame, centre: dict[int, np.ndarray], block: int, copies
             mask = np.zeros(held.shape, bool)
             held[which[by], rank], mask[which[by], rank] = ids[by], True
             x = np.ascontiguousarray(x[first])
-            bits, far, f = encode(x, centre[d], turns[d])
+            bits, far, f = encode(x, *frames(d))
             return d, (task << 32) + serial, len(x), held.tobytes(), mask.tobytes(), x.tobytes(), bits.tobytes(), far.tobytes(), f.tobytes()
 
         def batch(rows):
@@ -164,18 +188,11 @@ def best(q_ids: np.ndarray, q: np.ndarray, c: dict, centre: np.ndarray, turn: np
 def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = BLOCK, probe: int = 64) -> DataFrame:
     """vectors(vec_id, embedding) -> query_id, rank, vec_id, score."""
     vectors = usable(vectors)
-    # one mean a dimension: dimensions are few, their number is checked
-    means = vectors.select("d", F.posexplode("v").alias("i", "x")).groupBy("d", "i").agg(F.avg("x").alias("x"))
-    centre: dict[int, np.ndarray] = {}
-    sizes = [r["d"] for r in vectors.select("d").distinct().limit(65).collect()]
-    if len(sizes) > 64:
-        raise ValueError("vectors of more than 64 different dimensions")
-    got = means.toPandas()
-    for d in sizes:
-        centre[d] = got[got["d"] == d].sort_values("i")["x"].to_numpy(float)
+    sizes = [r["d"] for r in vectors.groupBy("d").count().orderBy(F.desc("count"), "d").limit(CENTRES).collect()]
+    means = vectors.filter(F.col("d").isin(sizes)).select("d", F.posexplode("v").alias("i", "x")).groupBy("d", "i").agg(F.avg("x").alias("x")).toPandas()
+    centre = {d: part.sort_values("i")["x"].to_numpy(float) for d, part in means.groupby("d")}
     codes = common.materialise(blocks(vectors, centre, block, k + 1), "codes")
-    places = codes.select("d", "block")
-    queries = vectors.filter(F.col("vec_id") % every == 0)
+    queries = vectors.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
 
     def gather():
         from pyspark import TaskContext
@@ -199,37 +216,45 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = BLOCK,
         return run
 
     asked = common.materialise(common.map_arrow(queries, "d int, qblock long, qids binary, q binary", gather), "query-blocks")
-    # every block of queries goes to every block of codes of its dimension: an equi-join on a part of the blocks' names, so that
-    # no key of the join has more than some dozens of them
-    parts = max(1, places.count() // 64)
-    named = places.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
-    sent = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    pairs = sent.join(named, ["d", "part"]).drop("part").repartition("block", "qblock")
-    work = pairs.join(codes.drop("d"), "block")
+    n_codes, n_asked = codes.count(), asked.count()
+    group = max(1, min(GROUP, int((n_codes * n_asked / CELLS) ** 0.5)))
+    rows, columns = max(1, -(-n_codes // group)), max(1, -(-n_asked // group))
+    # blocks meet in the cells of a grid, queries first
+    names = ["block", "n", "ids", "mask", "x", "bits", "far", "f"]
+    place = lambda block, n: F.pmod(F.xxhash64(block), F.lit(n)).cast("int")
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    kinds = dict(codes.dtypes)
+    left = asked.select("d", F.lit(0).alias("kind"), place("qblock", columns).alias("column"), every_one(rows).alias("row"), "qblock", "qids", "q", *[F.lit(None).cast(kinds[c]).alias(c) for c in names])
+    right = codes.select("d", F.lit(1).alias("kind"), every_one(columns).alias("column"), place("block", rows).alias("row"), F.lit(None).cast("long").alias("qblock"), F.lit(None).cast("binary").alias("qids"), F.lit(None).cast("binary").alias("q"), *names)
+    work = left.unionByName(right).repartition("d", "row", "column").sortWithinPartitions("d", "row", "column", "kind")
 
     def run_blocks():
-        turns = {d: rotation(d) for d in centre}
+        frames = Frames(centre)
 
         def run(batches):
+            cell, held = None, []
             for b in batches:
                 for r in range(b.num_rows):
                     row = {c: b.column(c)[r].as_py() for c in b.schema.names}
-                    d, n = row["d"], row["n"]
-                    held = np.frombuffer(row["ids"], np.int64).reshape(n, -1)
-                    c = {"x": np.frombuffer(row["x"], float).reshape(n, d), "bits": np.frombuffer(row["bits"], np.uint8).reshape(n, -1), "far": np.frombuffer(row["far"]), "f": np.frombuffer(row["f"]), "ids": held, "mask": np.frombuffer(row["mask"], bool).reshape(n, -1)}
-                    q_ids = np.frombuffer(row["qids"], np.int64)
-                    i, ids, s = best(q_ids, np.frombuffer(row["q"], float).reshape(len(q_ids), d), c, centre[d], turns[d], k, probe)
-                    serial = (row["qblock"] << 12) + i  # tells rows of repeated query ids apart
-                    for lo in range(0, len(i), 50_000):
-                        e = slice(lo, lo + 50_000)
-                        yield pa.record_batch([pa.array(q_ids[i[e]]), pa.array(serial[e]), pa.array(ids[e]), pa.array(s[e])], ["query_id", "serial", "vec_id", "score"])
+                    d = row["d"]
+                    if (here := (d, row["row"], row["column"])) != cell:
+                        cell, held = here, []
+                    if row["kind"] == 0:
+                        ids = np.frombuffer(row["qids"], np.int64)
+                        held.append((ids, np.frombuffer(row["q"], float).reshape(len(ids), d)))
+                        continue
+                    n = row["n"]
+                    c = {"x": np.frombuffer(row["x"], float).reshape(n, d), "bits": np.frombuffer(row["bits"], np.uint8).reshape(n, -1), "far": np.frombuffer(row["far"]), "f": np.frombuffer(row["f"]), "ids": np.frombuffer(row["ids"], np.int64).reshape(n, -1), "mask": np.frombuffer(row["mask"], bool).reshape(n, -1)}
+                    for q_ids, q in held:
+                        i, ids, s = best(q_ids, q, c, *frames(d), k, probe)
+                        for lo in range(0, len(i), 50_000):
+                            e = slice(lo, lo + 50_000)
+                            yield pa.record_batch([pa.array(q_ids[i[e]]), pa.array(ids[e]), pa.array(s[e])], ["query_id", "vec_id", "score"])
 
         return run
 
-    found = common.map_arrow(work, "query_id long, serial long, vec_id long, score double", run_blocks)
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("query_id", "serial").orderBy(F.desc("score"), "vec_id")
+    found = common.map_arrow(work, "query_id long, vec_id long, score double", run_blocks)
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
