@@ -43,8 +43,117 @@ def test_language_id_without_labels(empty):
     assert model.predict(None) == ("und", 0.0)
 
 
-def test_language_id_pieces_and_temperature():
+def test_language_id_learns_every_language(spark):
+    """Seventy languages of unlike sizes, each with letters of its own."""
+    rows = []
+    for n in range(70):
+        letters = [chr(0x4E00 + 40 * n + i) for i in range(40)]
+        rows += [(1000 * n + j, " ".join(letters[(j + i) % 40] * 2 for i in range(30)), f"l{n:02}") for j in range(300 if n < 2 else 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit(docs, lang_id.held_out(), max_rows=200)
+    assert len(model.classes) == 70
+    got = lang_id.predict(docs, model, ["lang"]).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.95
+
+
+def test_language_id_sample_is_even_and_bounded(spark):
+    rows = [(i, f"abc {i}", "big") for i in range(3000)] + [(9000 + i, f"xyz {i}", "small") for i in range(40)] + [(7, "same id, other text", "big")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    original = lang_id.train
+
+    def spy(sample, *rest, **options):
+        seen.extend(lang for lang, _, _ in sample)
+        return original(sample, *rest, **options)
+
+    lang_id.train, before = spy, lang_id.train
+    try:
+        lang_id.fit(docs, lang_id.F.lit(False), max_rows=100)
+    finally:
+        lang_id.train = before
+    assert seen.count("small") == 40 and 45 <= seen.count("big") <= 100
+
+
+def test_language_id_against_plain_version(spark, docs, corpus):
+    """idf, features, probabilities: worked out with dictionaries from the model's weights."""
+    model = lang_id.fit(docs, lang_id.held_out())
     grams = lang_id.Grams()
+
+    def plain(text):
+        c, out = " ", []
+        for ch in text.lower():
+            if ch.isalpha() or c[-1] != " ":
+                c += ch if ch.isalpha() else " "
+        for i in range(1, len(c)):
+            out += [c[i]] * (c[i] != " ") + [c[i - 1 : i + 1]] + [c[i - 2 : i + 1]] * (i > 1)
+        return Counter(out)
+
+    mod = 1 << 32
+    def bucket(g):
+        o = [ord(x) for x in g]
+        f = [int(x) for x in grams.FACTORS]
+        if len(o) == 1:
+            return o[0] * f[0] % mod >> int(grams.shift)
+        b = o[1] * f[1] % mod
+        two = (o[0] * f[0] % mod ^ (b + (b >> 15)) % mod) * 0x27D4EB2F % mod
+        if len(o) == 2:
+            return two >> int(grams.shift)
+        d = o[2] * f[2] % mod
+        return (two ^ (d + (d >> 13)) % mod) * 0x165667B1 % mod >> int(grams.shift)
+
+    def counts(text):
+        out = Counter()
+        for g, n in plain(text).items():
+            out[bucket(g)] += n
+        return out
+
+    bags = {}
+    for i, text, lang, *_ in corpus:
+        if any(x.isalpha() for x in text or ""):
+            bags[text] = counts(text)
+            assert dict(enumerate(grams(text))).items() >= bags[text].items() and grams(text).sum() == sum(bags[text].values())
+    learned = [(text, lang) for i, text, lang, *_ in corpus if text is not None and lang is not None and (i is None or zlib.crc32(str(i).encode()) % 4 != 2)]
+    df = Counter(b for text, _ in learned for b in bags.get(text, ()))
+    for b in set().union(*bags.values()):
+        assert model.idf[b] == pytest.approx(math.log((1 + len(learned)) / (1 + df[b])) + 1)
+    got = {r["doc_id"]: r for r in lang_id.predict(docs, model, ["doc_id"]).collect()}
+    for i, text, *_ in corpus:
+        if i is None or text not in bags:
+            continue
+        x = {b: (1 + math.log(n)) * model.idf[b] for b, n in bags[text].items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        z = [sum(model.weights[c][b] * v / norm for b, v in x.items()) + model.bias[c] for c in range(len(model.classes))]
+        e = [math.exp((v - max(z)) / model.temperature) for v in z]
+        assert got[i]["score"] == pytest.approx(max(e) / sum(e), abs=1e-4)
+
+
+def test_ftrl_is_the_closed_form():
+    """Its weights minimise the sum of gradients, proximal terms and both penalties, coordinate by coordinate."""
+    learner = lang_id.Ftrl(2, 3)
+    rng = np.random.default_rng(1)
+    total, squares, centre = np.zeros((2, 3)), np.zeros((2, 3)), np.zeros((2, 3))
+    for _ in range(40):
+        x, y = rng.standard_normal(3), int(rng.integers(2))
+        w = learner.weights()
+        p = np.exp(w @ x - (w @ x).max())
+        g = (p / p.sum() - np.eye(2)[y])[:, None] * x
+        centre += (np.sqrt(squares + g * g) - np.sqrt(squares)) / learner.alpha * w
+        total, squares = total + g, squares + g * g
+        learner.learn(np.arange(3), x, y)
+    w = learner.weights()
+    f = lambda v: (total - centre) * v + (np.sqrt(squares) + learner.beta) / learner.alpha * v * v / 2 + learner.l2 * v * v / 2 + learner.l1 * np.abs(v)
+    for step in (1e-4, -1e-4):
+        assert (f(w) <= f(w + step) + 1e-12).all()
+
+
+def test_language_id_pieces_and_temperature(monkeypatch):
+    grams = lang_id.Grams()
+    text = "Ab  c1ddé, ff;  gŋ 日本 x" * 7
+    whole = grams(text)
+    for piece in (1, 2, 3, 10):
+        monkeypatch.setattr(lang_id, "PIECE", piece)
+        assert (grams(text) == whole).all() and grams("12 !") is None
+    monkeypatch.undo()
     assert grams("12 !") is None and grams(None) is None
     assert grams("ab ab").sum() == 4 + 5 + 4
     assert lang_id.temperature([(0, np.array([9.0, 0.0])), (1, np.array([9.0, 0.0]))] * 5) > 5

@@ -31,14 +31,27 @@ def test_neighbours_are_exact_enough(spark, vectors):
     for i, q in asked.items():
         want = sorted((-float((q * v).sum()), j) for j, v in rows if len(v) == len(q) and j != i)[:20]
         mine = sorted(got[i])
-        times = len([1 for j, _ in rows if j == i])  # repeated query rows are answered each
-        assert len(mine) == len(want) * times
+        assert len(mine) == len(want) and [r for r, *_ in mine] == list(range(1, len(want) + 1))  # repeated query rows are answered once
         assert all(abs(s - float((q * dict(rows)[j]).sum())) < 1e-12 for _, j, s in mine)
         hits += len({j for _, j, _ in mine} & {j for _, j in want})
         total += len({j for _, j in want})
     assert hits / total >= 0.99
 
 
+def test_neighbours_of_many_dimensions(spark):
+    """More dimensions than have centres, a query id on unlike vectors, and a grid of more than one group."""
+    rng = np.random.default_rng(2)
+    rows = [(20 * d + i, [float(v) for v in rng.standard_normal(d)]) for d in range(1, 101) for i in range(6)]
+    rows += [(2000, [9.0] * 40), (2000, [-3.0] * 40)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3, block=2).collect()
+    asked = {i: v for i, v in reversed(sorted(rows)) if i % 20 == 0}
+    assert len(got) == 3 * len(asked)
+    for i, q in asked.items():
+        want = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in rows if len(v) == len(q) and j != i)[:3]
+        mine = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == i)
+        assert [j for _, j in mine] == [j for _, j in want]
+
+
 def test_neighbours_empty(vectors):
     assert ann.search(vectors.limit(0)).count() == 0
 
