@@ -434,7 +434,7 @@ def test_toxicity_finds_planted(spark):
     assert all(r["score"] < 1e-6 for r in toxicity.score(docs, none).collect())
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_words": 500, "dense": 4, "round_chars": 800}])
+@pytest.mark.parametrize("options", [{}, {"shard_words": 500, "dense": 4, "group": 1}])
 def test_search_against_all_scores(docs, corpus, options):
     asked = docs.filter("doc_id % 10 = 0").selectExpr("doc_id as query_id", "text")
     got = defaultdict(list)
@@ -521,15 +521,39 @@ def test_token_counts_empty(empty):
 
 
 def test_null_ids_take_no_place_among_equal_documents():
-    import numpy as np
-
-    from folioflow.llm import search
-
-    none, k = np.iinfo(np.int64).min, 3
-    for ids, want in (([none, none, 5, 6, 7, 8], [5, 6, 7]), ([none] * 6, [])):
-        doc, term = np.arange(6), np.zeros(6, np.int32)
-        shard = search.Shard(np.array(ids), np.full(6, 1, np.int64), doc, term, np.ones(1), 1.0, np.zeros(0, np.int64), k)
-        assert sorted(shard.ids) == want
+    import pickle
+
+    k, bag = 3, (np.array([7], np.uint64), np.array([1]), 1)
+    for ids, want in (([search.NOBODY, search.NOBODY, 5, 6, 7, 8], [5, 6, 7]), ([search.NOBODY] * 6, [])):
+        n, words, _, df, data = search.pack_shard(ids, [bag] * 6, k)
+        assert (n, words, np.frombuffer(df, np.int32).tolist()) == (6, 6, [6])
+        assert pickle.loads(data)[0].tolist() == want
+
+
+def test_search_passes_over_blocks(monkeypatch):
+    """Of many blocks only pivots are read, and what is found is what full scoring finds."""
+    rng = np.random.default_rng(6)
+    hashes = search.common.WordHashes()
+    # a topic's documents have a length of their own, so that they lie together; all share some words
+    texts = [" ".join([f"t{i // 60}w{int(v)}" for v in rng.integers(0, 40, 30 + i // 60)] + [f"c{int(v)}" for v in rng.integers(0, 200, 20)]) for i in range(3000)]
+    bags = [search.bag_of(t, hashes) for t in texts]
+    _, _, terms, _, data = search.pack_shard(list(range(3000)), bags, 5)
+    shard = search.Shard(terms, data, 30.0, 16)
+    read = []
+    original = search.ranges
+    monkeypatch.setattr(search, "ranges", lambda a, b: read.append(int((b - a).sum())) or original(a, b))
+    cell = search.Cell(5)
+    df = Counter(x for t, *_ in bags for x in t.tolist())
+    cell.queries = [(i, 0, t, tf * np.log(1 + (3000.5 - np.array([df[x] for x in t.tolist()])) / (np.array([df[x] for x in t.tolist()]) + 0.5))) for i, (t, tf, _) in enumerate(bags[:1200:60])]
+    cell.search(shard)
+    for q, (_, _, t, w) in enumerate(cell.queries):
+        every = [(-round(sum(v * search.impacts(tf, n, 30.0) for v, tf in zip(w[np.isin(t, dt)], dtf[np.isin(dt, t)], strict=True)), 6), i) for i, (dt, dtf, n) in enumerate(bags)]
+        want = sorted(every)[:5]
+        assert cell.d[cell.q == q].tolist() == [i for _, i in want]
+        assert cell.s[cell.q == q] == pytest.approx([-x for x, _ in want], abs=2e-6)
+    # ranges are: all pairs of the terms; postings in leading blocks; postings in pivots
+    rare = sum(df[x] for _, _, t, _ in cell.queries for x in t.tolist() if shard.place[np.searchsorted(shard.terms, x)] < 0)
+    assert 0 < read[1] + read[2] < 0.5 * rare
 
 
 def test_near_dedup_repeated_ids_with_unlike_texts(spark):
