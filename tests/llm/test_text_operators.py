@@ -289,9 +289,11 @@ def test_perfect_hash():
     assert len(line_dedup.PerfectHash.build(keys[:0])(keys[:5])) == 5
 
 
-def test_packing_is_a_partition_of_ids(docs, corpus):
+@pytest.mark.parametrize("merge_tokens", [packing.MERGE_TOKENS, 1500])
+def test_packing_is_a_partition_of_ids(docs, corpus, monkeypatch, merge_tokens):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(packing, "MERGE_TOKENS", merge_tokens)
     tok = Tokenizer.from_file(packing.default_vocabulary())
     got = packing.pack(docs).collect()
     want = Counter()
@@ -317,8 +319,47 @@ def test_packing_is_a_partition_of_ids(docs, corpus):
             assert offset == at
             at += length
         assert at <= 1024
-    # at most one window a task isn't full
-    assert sum(sum(n for _, n in p) < 1024 for p in windows.values()) <= docs.rdd.getNumPartitions()
+    # at most one window isn't full where one task joins what is left
+    total = sum(len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, *_ in corpus)
+    assert sum(sum(n for _, n in p) < 1024 for p in windows.values()) <= (1 if merge_tokens > total else -(-total // merge_tokens))
+    # a window closed by the rule holds its documents' last pieces whole, one cut off is a slice of one document
+    for r in got:
+        if r["how"] == "slice":
+            assert r["length"] == 1024 and r["start"] % 1024 == 0
+        elif r["how"] == "rule":
+            assert r["start"] % 1024 == 0 and r["start"] + r["length"] == r["doc_tokens"]
+
+
+def test_packing_places_by_sum_of_squares():
+    """Every placement against trying all levels; windows closed by the rule are what it says."""
+    import random
+
+    rng, size = random.Random(9), 12
+    packer, levels, closed, got = packing.Packer(size), Counter(), 0, []
+    for i in range(3000):
+        s = rng.randint(1, size - 1)
+        options = []
+        for h in [0, *(h for h in levels if levels[h] and h + s <= size)]:
+            after = levels.copy()
+            after[h] -= h > 0
+            after[h + s] += h + s < size
+            options.append((sum(v * v for k, v in after.items() if 0 < k < size), -h))
+        h = -min(options)[1]
+        levels[h] -= h > 0
+        levels[h + s] += h + s < size
+        closed += h + s == size
+        got += packer.add(i, np.zeros(s, np.uint32))
+        assert all(packer.count[k] == levels[k] for k in range(1, size))
+    assert len({p[4] for p in got}) == closed and closed >= 1400
+    left = list(packer.close())
+    lengths = Counter()
+    for p in left:
+        lengths[p[4]] += len(p[2])
+    assert sum(v < size for v in lengths.values()) <= 1 and {p[6] for p in left} <= {"joined"}
+
+
+def test_packing_empty(empty):
+    assert packing.pack(empty).count() == 0
 
 
 def test_packing_special_token_and_rule():
