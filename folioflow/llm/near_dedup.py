@@ -5,13 +5,13 @@
 2. Sketch: register i is the largest, over the set, of floor(1 - log_b h_i) for hashes h_i with an exponential law,
    cut to [0, q+1]: exponentially spaced truncated minima. Two sketches merge by taking the larger of each
    register (``merge``).
-3. Bands of registers make keys; texts that share a key may be similar. A key's members are compared with the key's
-   smallest member only, not with each other: no pairs within a group.
+3. Bands of registers make keys; texts that share a key may be similar. A key's members are compared with one of them
+   only, its hub, not with each other: no pairs within a group.
 4. For each pair the number of registers that are larger, smaller and equal, with both set sizes, gives the
    likelihood of the similarity; pairs whose estimate is ``slack`` below the threshold or further are dropped, and so
    are pairs whose sizes alone rule it out. The rest are verified on full sets.
 5. Links make components. Members of one key that are still in different components have not all been compared;
-   comparing goes on with another hub per key, drawn anew, while that settles a tenth of the open pairs or more and
+   comparing goes on with another hub per key, while that settles a tenth of the open pairs or more and
    these are more than the band keys of all texts; then every open pair is estimated, once, in blocks, and those that may
    be similar are verified. So no link that banding shows is missed.
 
@@ -167,7 +167,7 @@ class Bander:
 
 
 def band_keys(sets: DataFrame) -> DataFrame:
-    """(doc_id, registers) -> (key, doc_id), one row a band."""
+    """(doc_id, first, registers) -> (key, doc_id, first), one row a band."""
 
     def make():
         keys_of = Bander()
@@ -176,12 +176,12 @@ def band_keys(sets: DataFrame) -> DataFrame:
             for b in batches:
                 if not b.num_rows:
                     continue
-                keys = keys_of(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16))
-                yield pa.record_batch([pa.array(keys.reshape(-1)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], ["key", "doc_id"])
+                keys = keys_of(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16))
+                yield pa.record_batch([pa.array(keys.reshape(-1)), *(pa.array(np.repeat(b.column(i).to_numpy(), BANDS)) for i in range(2))], ["key", "doc_id", "first"])
 
         return run
 
-    return common.map_arrow(sets.select("doc_id", "registers"), "key long, doc_id long", make)
+    return common.map_arrow(sets.select("doc_id", "first", "registers"), "key long, doc_id long, first long", make)
 
 
 def likely(pairs: DataFrame, sets: DataFrame, threshold: float, slack: float) -> DataFrame:
@@ -283,7 +283,7 @@ def find(docs: DataFrame, k: int = 5, per_hundred: int = 80, slack: float = 0.13
     some = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     least = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "mark", "n", "registers")).alias("s"))
     classes = common.materialise(least.select(F.monotonically_increasing_id().alias("class"), "d1", "d2", "s.*"), "classes")
-    sets = classes.select(F.col("class").alias("doc_id"), "n", "registers")
+    sets = classes.select(F.col("class").alias("doc_id"), F.col("doc_id").alias("first"), "n", "registers")
     owned = common.materialise(some.select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "class"), ["d1", "d2"]).select("doc_id", "class").distinct(), "owned")
     # a document with several texts ties their classes together
     several = common.materialise(owned.groupBy("doc_id").agg(F.min("class").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "b"), "several")
@@ -332,9 +332,16 @@ def shared_keys(keys: DataFrame) -> DataFrame:
 
 
 def hub_pairs(keys: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """Each member with its key's hub, where their components differ. First the smallest id, later one drawn by the turn."""
-    now = keys.join(roots, keys["doc_id"] == roots["id"]).select("key", "doc_id", "root")
-    order = F.col("doc_id") if not turn else F.xxhash64("doc_id", "key", F.lit(turn))
+    """Each member with its key's hub, where their components differ.
+
+    First the hub is the smallest document, which copies were often made from; then the one that shares its keys with most others,
+    as the middle of a group does; later one drawn by the turn.
+    """
+    now = keys.join(roots, keys["doc_id"] == roots["id"]).select("key", "doc_id", "root", "first", "members")
+    order = F.col("first") if not turn else F.xxhash64("doc_id", "key", F.lit(turn))
+    if turn == 1:
+        now = now.join(keys.groupBy("doc_id").agg(F.sum("members").alias("shared")), "doc_id")
+        order = -F.col("shared")
     hubs = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), "doc_id", "root")).alias("h"), F.max("root").alias("top"), F.min("root").alias("low"))
     # keys whose members are all in one component have nothing to compare
     hubs = common.materialise(hubs.filter("low < top").select("key", F.col("h.doc_id").alias("hub"), F.col("h.root").alias("hub_root")), "key-hubs")
