@@ -21,7 +21,9 @@ join is an aggregate by the same key, it is written first: both sides are then p
 adaptive execution splits.
 
 What banding may miss: two texts at a similarity of exactly 0.8 share no key with a chance of (1 - 0.8^6)^42, 3 in a
-million, and less above; the estimate has a standard error of 0.025 there, and ``slack`` is five of them.
+million, and less above; the estimate has a standard error of 0.025 there. Hubs' pairs, one a text and key, are verified
+within five of them (``slack``). Where all open pairs of a group are estimated, it is three (``block_slack``): groups whose texts
+are all alike to 0.7 would else be verified pair by pair; 7 in 10,000 of those pairs at exactly 0.8 fail, fewer above.
 
 Defined results: texts without words (or null) have an empty set, are linked with nothing and are kept; with fewer
 words than the shingle the sequence is the one element; rows with the same doc_id are one document, which is linked where
@@ -275,7 +277,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per_hu
     return common.map_arrow(laid, "a long, b long", compare)
 
 
-def find(docs: DataFrame, k: int = 5, per_hundred: int = 80, slack: float = 0.13) -> DataFrame:
+def find(docs: DataFrame, k: int = 5, per_hundred: int = 80, slack: float = 0.13, block_slack: float = 0.08) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept: one row a row of docs."""
     docs = docs.select("doc_id", "text")
     threshold = per_hundred / 100
@@ -295,7 +297,7 @@ def find(docs: DataFrame, k: int = 5, per_hundred: int = 80, slack: float = 0.13
     all_keys = BANDS * sets.count()
     turn, last, open_pairs = 0, False, None
     while True:
-        pairs = every_pair(keys, roots, sets, threshold, slack) if last else hub_pairs(keys, roots, turn)
+        pairs = every_pair(keys, roots, sets, threshold, block_slack) if last else hub_pairs(keys, roots, turn)
         if tried is not None:
             pairs = pairs.join(tried, ["hub", "doc_id"], "left_anti")
         pairs = common.materialise(pairs.distinct(), "candidates")
