@@ -41,7 +41,7 @@ def calm_title(t: Column, small: tuple[str, ...]) -> Column:
     """A title in capitals as capitalised words, small words low but for the first; any lower-case letter leaves it as it is."""
     shouted = (t == F.upper(t)) & (t != F.lower(t))
     parts = F.split(F.lower(t), " ")
-    calm = F.array_join(F.transform(parts, lambda w, i: F.when((i > 0) & w.isin(*small), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000)))), " ")
+    calm = F.array_join(F.transform(parts, lambda w, i: F.when((i > 0) & w.isin(*small), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))))), " ")
     return F.when(shouted, calm).otherwise(t)
 
 

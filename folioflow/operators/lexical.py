@@ -68,16 +68,16 @@ def lexical_profile(spark, sf_dir):
     )
 
 
-@R.query("TXT-06 TXT-23 AGG-13", f"""WITH {TOKENS}, c AS (SELECT doc_id, lemma, word, count(*) AS n, min(pos * 100000 + i) AS first_at, regexp_matches(word, '^\\p{{Lu}}\\p{{Ll}}') AS cap FROM tokens WHERE i > 0 AND lang <> 'de' GROUP BY ALL),
-s AS (SELECT doc_id, lemma, sum(n) FILTER (cap) AS caps, coalesce(sum(n) FILTER (NOT cap), 0) AS low, arg_max(word, (n, -first_at)) FILTER (cap) AS surface FROM c GROUP BY ALL)
+@R.query("TXT-06 TXT-23 AGG-13", f"""WITH {TOKENS}, c AS (SELECT doc_id, lemma, word, count(*) AS n, min({{'pos': pos, 'i': i}}) AS first_at, regexp_matches(word, '^\\p{{Lu}}\\p{{Ll}}') AS cap FROM tokens WHERE i > 0 AND lang <> 'de' GROUP BY ALL),
+s AS (SELECT doc_id, lemma, sum(n) FILTER (cap) AS caps, coalesce(sum(n) FILTER (NOT cap), 0) AS low, arg_max(word, (n, -first_at.pos, -first_at.i)) FILTER (cap) AS surface FROM c GROUP BY ALL)
 SELECT doc_id, lemma, surface, CAST(caps AS BIGINT) AS caps FROM s WHERE caps > low""")
 def proper_names(spark, sf_dir):
     """Words capitalised inside a block more often than not, in their most frequent spelling, the first seen of equals. German
     capitalises all nouns and is left out."""
     t = tokens(blocks(spark, sf_dir)).filter((F.col("i") > 0) & (F.col("lang") != "de"))
-    c = t.groupBy("doc_id", "lemma", "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("pos") * 100000 + F.col("i")).alias("first_at")).withColumn("cap", F.col("word").rlike(r"^\p{Lu}\p{Ll}"))
+    c = t.groupBy("doc_id", "lemma", "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "i")).alias("first_at")).withColumn("cap", F.col("word").rlike(r"^\p{Lu}\p{Ll}"))
     caps = F.sum(F.when(F.col("cap"), F.col("n")))
-    s = c.groupBy("doc_id", "lemma").agg(caps.alias("caps"), F.coalesce(F.sum(F.when(~F.col("cap"), F.col("n"))), F.lit(0)).alias("low"), F.max_by(F.col("word"), F.when(F.col("cap"), F.struct("n", -F.col("first_at")))).alias("surface"))
+    s = c.groupBy("doc_id", "lemma").agg(caps.alias("caps"), F.coalesce(F.sum(F.when(~F.col("cap"), F.col("n"))), F.lit(0)).alias("low"), F.max_by(F.col("word"), F.when(F.col("cap"), F.struct("n", -F.col("first_at.pos"), -F.col("first_at.i")))).alias("surface"))
     return s.filter("caps > low").select("doc_id", "lemma", "surface", "caps")
 
 
@@ -122,7 +122,7 @@ def attested_vocabulary(spark, sf_dir):
 def pairs(b: DataFrame, gap: str) -> DataFrame:
     """Neighbouring words of a block with what stands between them; pairs overlap."""
     cut = F.regexp_extract_all("text", F.lit(rf"\p{{L}}+|[^\p{{L}}]+"), F.lit(0))
-    shifted = F.arrays_zip(cut.alias("left"), F.slice(cut, 2, 1_000_000).alias("gap"), F.slice(cut, 3, 1_000_000).alias("right"))
+    shifted = F.arrays_zip(cut.alias("left"), F.slice(cut, F.lit(2), F.size(cut)).alias("gap"), F.slice(cut, F.lit(3), F.size(cut)).alias("right"))
     p = b.select("doc_id", "lang", "pos", F.posexplode(shifted).alias("i", "s")).select("doc_id", "lang", "pos", "i", "s.*")
     return p.filter(F.col("gap").rlike(gap) & F.col("left").rlike(r"^\p{L}") & F.col("right").isNotNull()).drop("gap")
 
@@ -141,15 +141,17 @@ def joined(p: DataFrame, z: DataFrame) -> DataFrame:
 
 @R.query("", f"""WITH {_PAIRS}, z AS (SELECT t.*, coalesce(a.zipf, 0) AS zj, coalesce(b.zipf, 0) AS zl, coalesce(c.zipf, 0) AS zr FROM trio t
   LEFT JOIN zipf a ON a.lang = t.lang AND a.lemma = lower("left" || "right") LEFT JOIN zipf b ON b.lang = t.lang AND b.lemma = lower("left") LEFT JOIN zipf c ON c.lang = t.lang AND c.lemma = lower("right")
-  WHERE regexp_matches("left", '^\\p{{L}}{{2,}}$') AND regexp_matches(gap, '^[ \\t]+$') AND length("right") >= 2),
+  WHERE regexp_matches("left", '^\\p{{L}}{{2,}}$') AND regexp_matches(gap, '^[ \\t]+$') AND length("right") >= 2 AND least(length("left"), length("right")) <= 3),
 f AS (SELECT *, CASE WHEN length("left") <= 3 AND zl < 4.2 THEN zl END AS fl, CASE WHEN length("right") <= 3 AND zr < 4.2 THEN zr END AS fr FROM z WHERE zj >= 3)
 SELECT doc_id, pos, CAST(i AS INTEGER) AS i, "left" || "right" AS suggested, round(least(0.9, 0.6 + (zj - least(fl, fr) - 1) * 0.1), 6) AS confidence FROM f WHERE least(fl, fr) IS NOT NULL AND zj - least(fl, fr) >= 1""")
 def split_words(spark, sf_dir):
     """Two words that are one word split by a blank, by frequencies alone: the joined spelling is known and much more frequent than the
     fragment. Looser than TXT-15, which attested_split_words has."""
     b = blocks(spark, sf_dir)
-    p = pairs(b, r"^[ \t]+$").filter((F.length("left") >= 2) & (F.length("right") >= 2))
-    z = joined(p, zipf_table(by_document(tokens(b)))).filter("z_joined >= 3")
+    p = pairs(b, r"^[ \t]+$").filter((F.length("left") >= 2) & (F.length("right") >= 2) & (F.least(F.length("left"), F.length("right")) <= 3))
+    # frequencies of distinct pairs, then back to where they stand
+    kinds = joined(p.select("lang", "left", "right").distinct(), zipf_table(by_document(tokens(b)))).filter("z_joined >= 3")
+    z = p.join(kinds, ["lang", "left", "right"])
     half = lambda word, zipf: F.when((F.length(word) <= 3) & (F.col(zipf) < 4.2), F.col(zipf))
     rarest = F.least(half("left", "z_left"), half("right", "z_right"))
     f = z.withColumn("rarity", F.col("z_joined") - rarest).filter("rarity >= 1")

@@ -285,9 +285,7 @@ def relocate_findings(spark, sf_dir):
 @R.query("MUT-08", "SELECT o_orderkey AS id, 'tombstone' AS kind FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_orderkey, 'edition' FROM orders WHERE o_orderstatus <> 'P'")
 def purge_to_tombstones(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    gone = o.filter("o_orderstatus = 'P'")
-    kept = o.join(gone.select("o_orderkey"), "o_orderkey", "left_anti")
-    return gone.select(F.col("o_orderkey").alias("id"), F.lit("tombstone").alias("kind")).unionByName(kept.select(F.col("o_orderkey").alias("id"), F.lit("edition").alias("kind")))
+    return o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "tombstone").otherwise("edition").alias("kind"))
 
 
 @R.query("MUT-11", "WITH n AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS runs, min(l_suppkey) AS only_run FROM lineitem GROUP BY 1) SELECT l_orderkey, l_linenumber, l_partkey, CAST(coalesce(CASE WHEN l_discount > 0 THEN l_suppkey END, CASE WHEN runs = 1 THEN only_run END) AS DOUBLE) AS run FROM lineitem JOIN n USING (l_orderkey)")

@@ -21,21 +21,27 @@ def unanswered(work: DataFrame, log: DataFrame, key: str) -> DataFrame:
     return work.join(log.select(key).distinct(), key, "left_anti")
 
 
-def fingerprints(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """key, fingerprint: digest of each group's rows as canonical JSON, in a fixed order, whenever it is made."""
-    body = F.array_sort(F.collect_list(F.struct(*order, F.to_json(F.struct(*sorted(rows.columns))).alias("__json"))))
-    return rows.groupBy(key).agg(body.alias("b")).select(key, F.sha2(F.array_join(F.transform("b", lambda x: x["__json"]), "\n"), 256).alias("fingerprint"))
+def fingerprints(rows: DataFrame, key: str) -> DataFrame:
+    """key, fingerprint: digest of each group's rows as canonical JSON, the same in whatever order they come.
 
+    Each row is digested where it is read; four 60-bit parts of the digests are summed, which is done before and after the shuffle,
+    and the sums and the number of rows are digested again. So a group is never in one place.
+    """
+    row = F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256)
+    parts = [F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)").alias(f"__p{i}") for i in range(4)]
+    sums = rows.select(key, *parts).groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(f"__p{i}").cast("decimal(38,0)").alias(f"__p{i}") for i in range(4)])
+    return sums.select(key, F.sha2(F.concat_ws(",", "__n", *[f"__p{i}" for i in range(4)]), 256).alias("fingerprint"))
 
-def write_bundle(rows: DataFrame, path: str, key: str, order: list[str]) -> None:
+
+def write_bundle(rows: DataFrame, path: str, key: str) -> None:
     """A bundle: the rows by key, and a manifest with each key's fingerprint."""
     rows.write.mode("overwrite").parquet(f"{path}/rows")
-    fingerprints(rows, key, order).write.mode("overwrite").parquet(f"{path}/manifest")
+    fingerprints(rows, key).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
-def import_bundle(spark: SparkSession, path: str, stored: DataFrame, key: str, order: list[str]) -> DataFrame:
+def import_bundle(spark: SparkSession, path: str, stored: DataFrame, key: str) -> DataFrame:
     """The stored table after a bundle's import: keys with an equal fingerprint are left alone, others replaced as a whole."""
     rows, manifest = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/manifest")
-    have = fingerprints(stored, key, order).withColumnRenamed("fingerprint", "__have")
+    have = fingerprints(stored, key).withColumnRenamed("fingerprint", "__have")
     changed = manifest.join(have, key, "left").filter(~F.col("fingerprint").eqNullSafe(F.col("__have"))).select(key)
     return stored.join(changed, key, "left_anti").unionByName(rows.join(changed, key, "left_semi"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from ..session import table
+from ..session import shared_folder, table
 
 R = Registry()
 
@@ -21,14 +21,18 @@ def stream(spark: SparkSession, sf_dir: str, late: str = "1 hour") -> DataFrame:
     return raw.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
 
 
-def drain(df: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
-    """Run a stream over what there is now and give its result as a table."""
-    name = f"s{uuid.uuid4().hex}"
-    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if folder:
-        writer = writer.option("checkpointLocation", folder)
+def drain(df: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over what there is now and give its result as a table. State and result lie in the shared folder."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/folioflow/stream-{uuid.uuid4().hex}"
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{folder}/rows")
+    else:  # the whole result with each batch; the last one stays
+        spark.createDataFrame([], df.schema).write.parquet(f"{folder}/rows")
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows"))
     writer.start().awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
 
 
 def daily(events: DataFrame) -> DataFrame:

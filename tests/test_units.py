@@ -78,8 +78,8 @@ def test_strict_json_and_bundles(spark, tmp_path):
         files.strict_json(spark, f"file://{tmp_path}/bad.json", "id int, v string").collect()
     old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y"), ("b", 2, "z")], "k string, n int, v string")
     new = spark.createDataFrame([("b", 2, "z"), ("b", 1, "changed"), ("a", 1, "x"), ("c", 1, "w")], "k string, n int, v string")
-    files.write_bundle(new, f"file://{tmp_path}/bundle", "k", ["n"])
-    got = files.import_bundle(spark, f"file://{tmp_path}/bundle", old, "k", ["n"])
+    files.write_bundle(new, f"file://{tmp_path}/bundle", "k")
+    got = files.import_bundle(spark, f"file://{tmp_path}/bundle", old, "k")
     assert sorted(map(tuple, got.collect())) == [("a", 1, "x"), ("b", 1, "changed"), ("b", 2, "z"), ("c", 1, "w")]
     assert files.unanswered(old, new.filter("k = 'a'"), "k").count() == 2
 
