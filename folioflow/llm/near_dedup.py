@@ -336,14 +336,10 @@ def shared_keys(keys: DataFrame) -> DataFrame:
 def hub_pairs(keys: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     """Each member with its key's hub, where their components differ.
 
-    First the hub is the smallest document, which copies were often made from; then the one that shares its keys with most others,
-    as the middle of a group does; later one drawn by the turn.
+    First the hub is the smallest document, which copies were often made from; later one drawn by the turn.
     """
-    now = keys.join(roots, keys["doc_id"] == roots["id"]).select("key", "doc_id", "root", "first", "members")
+    now = keys.join(roots, keys["doc_id"] == roots["id"]).select("key", "doc_id", "root", "first")
     order = F.col("first") if not turn else F.xxhash64("doc_id", "key", F.lit(turn))
-    if turn == 1:
-        now = now.join(keys.groupBy("doc_id").agg(F.sum("members").alias("shared")), "doc_id")
-        order = -F.col("shared")
     hubs = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), "doc_id", "root")).alias("h"), F.max("root").alias("top"), F.min("root").alias("low"))
     # keys whose members are all in one component have nothing to compare
     hubs = common.materialise(hubs.filter("low < top").select("key", F.col("h.doc_id").alias("hub"), F.col("h.root").alias("hub_root")), "key-hubs")
