@@ -1,6 +1,11 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next.
 
 language ID -> line dedup -> near-dedup -> mixing -> packing. All but the last return the columns of documents.
+
+Defined results: a null text or one without letters goes with language ID; a null lang is not learned from; null sources are one
+source; a null doc_id keeps its lines and is no near-duplicate; an empty text left by line dedup stays, and is one end id when packed;
+rows that occur twice are one document for line dedup and near-dedup and two for mixing and packing; further columns, whatever
+their names, are carried along; an empty table gives no pieces.
 """
 
 from __future__ import annotations
