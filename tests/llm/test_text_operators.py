@@ -471,6 +471,7 @@ def test_toxicity_finds_planted(spark):
     assert len(got) == len(rows)
     assert all((got[i] >= 0.7) == (i % 5 == 0) for i in range(400))
     assert got[401] == got[402] < 0.1 and got[None] >= 0.7
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), marks)).count() == 0  # no texts for the labels
     none = toxicity.fit(docs, marks.limit(0))
     assert all(r["score"] < 1e-6 for r in toxicity.score(docs, none).collect())
 
