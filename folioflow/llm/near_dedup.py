@@ -12,8 +12,9 @@
    are pairs whose sizes alone rule it out. The rest are verified on full sets.
 5. Links make components. Members of one key that are still in different components have not all been compared;
    comparing goes on with another hub per key, while that settles a tenth of the open pairs or more and
-   these are more than the band keys of all texts; then every open pair is estimated, once, in blocks, and those that may
-   be similar are verified. So no link that banding shows is missed.
+   these are more than ``OPEN`` for each band key of all texts; then every open pair is estimated, once, in blocks of a key's
+   members, and those that may be similar are verified on full sets inside the block. A block puts out links only, and those
+   between parts that it has not joined yet: fewer than it has members. So no link that banding shows is missed.
 
 Full sets are read again from the texts (only texts in some pair), sent to where the hub's set is: a hub's pairs are
 dealt over several groups, so a hub of very many texts is no hot spot, and its pairs stream past it. Where one side of a
@@ -21,9 +22,8 @@ join is an aggregate by the same key, it is written first: both sides are then p
 adaptive execution splits.
 
 What banding may miss: two texts at a similarity of exactly 0.8 share no key with a chance of (1 - 0.8^6)^42, 3 in a
-million, and less above; the estimate has a standard error of 0.025 there. Hubs' pairs, one a text and key, are verified
-within five of them (``slack``). Where all open pairs of a group are estimated, it is three (``block_slack``): groups whose texts
-are all alike to 0.7 would else be verified pair by pair; 7 in 10,000 of those pairs at exactly 0.8 fail, fewer above.
+million, and less above; the estimate has a standard error of 0.025 there, and pairs are verified within five of them
+(``slack``); with a slack of 1 all pairs that share a key are.
 
 Defined results: texts without words (or null) have an empty set, are linked with nothing and are kept; with fewer
 words than the shingle the sequence is the one element; rows with the same doc_id are one document, which is linked where
@@ -44,7 +44,9 @@ from .components import components
 REGISTERS, BANDS = 252, 42
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 SALT_PAIRS = 256
-BLOCK = 1024
+#: A block has about so many members at most, and so many elements of their sets.
+BLOCK, BLOCK_ELEMENTS = 1024, 2_000_000
+OPEN = 32
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -117,6 +119,27 @@ def estimate(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.n
     return found
 
 
+def reaches(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float, step: float = 0.005) -> np.ndarray:
+    """Whether ``estimate`` is ``least`` or more: the likelihood has one top, and does not fall up to there."""
+    total = (n_a + n_b).astype(float)
+    u, v = n_a / total, n_b / total
+    p = lambda x: -np.log1p(-np.clip(x, 1e-12, 1) * (BASE - 1) / BASE) / np.log(BASE)
+
+    def like(j):
+        more, less = p(u - v * j), p(v - u * j)
+        return larger * np.log(more) + smaller * np.log(less) + (REGISTERS - larger - smaller) * np.log(np.clip(1 - more - less, 1e-12, 1))
+
+    return np.full(len(u), True) if least <= 0 else like(least) >= like(max(least - step, 0.0))
+
+
+def alike(a: np.ndarray, b: np.ndarray, per_hundred: int) -> bool:
+    """Whether sorted sets have 100 * intersection >= per_hundred * union; empty ones do not."""
+    if not len(a) or not len(b):
+        return False
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * both >= per_hundred * (len(a) + len(b) - both)
+
+
 SETS = "doc_id long, mark long, n long, d1 long, d2 long, registers binary"
 
 
@@ -169,7 +192,7 @@ class Bander:
 
 
 def band_keys(sets: DataFrame) -> DataFrame:
-    """(doc_id, first, registers) -> (key, doc_id, first), one row a band."""
+    """(doc_id, first, n, registers) -> (key, doc_id, first, n), one row a band."""
 
     def make():
         keys_of = Bander()
@@ -178,12 +201,12 @@ def band_keys(sets: DataFrame) -> DataFrame:
             for b in batches:
                 if not b.num_rows:
                     continue
-                keys = keys_of(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16))
-                yield pa.record_batch([pa.array(keys.reshape(-1)), *(pa.array(np.repeat(b.column(i).to_numpy(), BANDS)) for i in range(2))], ["key", "doc_id", "first"])
+                keys = keys_of(np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint16))
+                yield pa.record_batch([pa.array(keys.reshape(-1)), *(pa.array(np.repeat(b.column(i).to_numpy(), BANDS)) for i in range(3))], ["key", "doc_id", "first", "n"])
 
         return run
 
-    return common.map_arrow(sets.select("doc_id", "first", "registers"), "key long, doc_id long, first long", make)
+    return common.map_arrow(sets.select("doc_id", "first", "n", "registers"), "key long, doc_id long, first long, n long", make)
 
 
 def likely(pairs: DataFrame, sets: DataFrame, threshold: float, slack: float) -> DataFrame:
@@ -264,10 +287,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per_hu
                     if kind == 0:
                         state.update(at=(hub, part), set=s)
                         continue
-                    h = state["set"]
-                    at = np.searchsorted(h, s)
-                    common_n = int((h[np.minimum(at, len(h) - 1)] == s).sum()) if len(h) else 0
-                    if common_n and 100 * common_n >= per_hundred * (len(s) + len(h) - common_n):
+                    if alike(state["set"], s, per_hundred):
                         hub_out.append(hub)
                         doc_out.append(doc)
                 yield pa.record_batch([pa.array(hub_out, pa.int64()), pa.array(doc_out, pa.int64())], ["a", "b"])
@@ -277,7 +297,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per_hu
     return common.map_arrow(laid, "a long, b long", compare)
 
 
-def find(docs: DataFrame, k: int = 5, per_hundred: int = 80, slack: float = 0.13, block_slack: float = 0.08) -> DataFrame:
+def find(docs: DataFrame, k: int = 5, per_hundred: int = 80, slack: float = 0.13) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept: one row a row of docs."""
     docs = docs.select("doc_id", "text")
     threshold = per_hundred / 100
@@ -297,13 +317,16 @@ def find(docs: DataFrame, k: int = 5, per_hundred: int = 80, slack: float = 0.13
     all_keys = BANDS * sets.count()
     turn, last, open_pairs = 0, False, None
     while True:
-        pairs = every_pair(keys, roots, sets, threshold, block_slack) if last else hub_pairs(keys, roots, turn)
-        if tried is not None:
-            pairs = pairs.join(tried, ["hub", "doc_id"], "left_anti")
-        pairs = common.materialise(pairs.distinct(), "candidates")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        likely_pairs = pairs if last else likely(pairs, sets, threshold, slack)
-        edges = common.materialise(edges.unionByName(verify(likely_pairs, classes, docs, k, per_hundred)), "links")
+        if last:
+            found = block_links(keys, roots, classes, docs, k, per_hundred, slack)
+        else:
+            pairs = hub_pairs(keys, roots, turn)
+            if tried is not None:
+                pairs = pairs.join(tried, ["hub", "doc_id"], "left_anti")
+            pairs = common.materialise(pairs.distinct(), "candidates")
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            found = verify(likely(pairs, sets, threshold, slack), classes, docs, k, per_hundred)
+        edges = common.materialise(edges.unionByName(found), "links")
         joined = components(edges)
         roots = common.materialise(roots.select("id").join(joined, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "roots")
         if last:
@@ -311,7 +334,7 @@ def find(docs: DataFrame, k: int = 5, per_hundred: int = 80, slack: float = 0.13
         before, open_pairs = open_pairs, unsettled(keys, roots)
         if not open_pairs:
             break
-        turn, last = turn + 1, open_pairs <= all_keys or before is not None and open_pairs > 0.9 * before
+        turn, last = turn + 1, open_pairs <= OPEN * all_keys or before is not None and open_pairs > 0.9 * before
     # components named by their smallest document, then back from classes to rows
     rooted = classes.select("class", "d1", "d2", "doc_id").join(joined.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     names = common.materialise(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "names")
@@ -354,82 +377,156 @@ def unsettled(keys: DataFrame, roots: DataFrame) -> int:
     return int(by_key.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0)
 
 
-def every_pair(keys: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float, slack: float) -> DataFrame:
-    """Pairs of members of one key in different components whose joint estimate may reach the threshold.
+class Pieces:
+    """Members of two blocks of a key, and which of them may be similar to one of another component.
 
-    All such pairs of a key are estimated, in blocks of its members: a key of m members is m / BLOCK blocks, each pair of
-    blocks is one piece of work, and only what passes is emitted.
+    A pair is looked at in the first key that it shares.
     """
-    now = keys.join(roots, keys["doc_id"] == roots["id"]).select("key", "doc_id", "root")
-    sizes = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"))
-    mixed = common.materialise(sizes.filter(F.col("lo") != F.col("hi")).select("key", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("blocks")), "mixed-keys")
+
+    COLUMNS = ["key", "i", "j", "mine", "doc_id", "root", "n", "registers"]
+
+    def __init__(self, threshold: float, slack: float):
+        self.keys_of, self.threshold, self.least = Bander(), threshold, threshold - slack
+
+    def __call__(self, batches):
+        """Sorted batches of COLUMNS and perhaps one more, a piece at a time: name, columns."""
+        now, rows = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(c).to_numpy() for c in range(7)]
+            cols.append(np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint16).reshape(-1, REGISTERS))
+            if b.num_columns > 8:
+                full = np.empty(b.num_rows, object)
+                full[:] = [np.frombuffer(x, np.uint64) for x in b.column(8).to_pylist()]
+                cols.append(full)
+            key, i, j = cols[:3]
+            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            for start, stop in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
+                name = (key[start], i[start], j[start])
+                if name != now:
+                    if rows:
+                        yield now, [np.concatenate(c) for c in zip(*rows, strict=True)]
+                    now, rows = name, []
+                rows.append([c[start:stop] for c in cols[3:]])
+        if rows:
+            yield now, [np.concatenate(c) for c in zip(*rows, strict=True)]
+
+    def likely(self, name, mine, root, n, regs):
+        """Positions (x, y) of open pairs whose joint estimate may reach the threshold, some at a time."""
+        key, i, j = name
+        keys = self.keys_of(regs)
+        band = int(np.argmax(keys[0] == key))
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        for lo in range(0, len(left), 32):
+            a = left[lo : lo + 32]
+            for ro in range(0, len(right), 512):
+                b = right[ro : ro + 512]
+                open_pair = root[a][:, None] != root[b]
+                open_pair &= np.minimum(n[a][:, None], n[b]) >= self.threshold * np.maximum(n[a][:, None], n[b])
+                if i == j:
+                    open_pair &= a[:, None] < b
+                x, y = (at[hit] for at, hit in zip((a, b), np.nonzero(open_pair), strict=True))
+                first = ~(keys[x, :band] == keys[y, :band]).any(1)
+                x, y = x[first], y[first]
+                if not len(x):
+                    continue
+                good = reaches(*compare_registers(regs[x], regs[y]), n[x], n[y], self.least)
+                if good.any():
+                    yield x[good], y[good]
+
+
+def block_links(keys: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per_hundred: int, slack: float) -> DataFrame:
+    """Links (a, b) between members of one key in different components.
+
+    All such pairs are estimated, in blocks of a key's members: each pair of blocks is one piece of work. Members with a
+    partner that they may be similar to come together again, in the same pieces, with their full sets.
+    """
+    threshold = per_hundred / 100
+    now = keys.join(roots, keys["doc_id"] == roots["id"]).select("key", "doc_id", "root", "n")
+    sizes = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("elements"))
+    blocks = F.ceil(F.greatest(F.col("m") / F.lit(BLOCK), F.least("m", F.col("elements") / F.lit(BLOCK_ELEMENTS)))).cast("int")
+    mixed = common.materialise(sizes.filter(F.col("lo") != F.col("hi")).select("key", blocks.alias("blocks")), "mixed-keys")
     members = now.join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # each block meets itself and every other once: the pair is named by the smaller and the larger
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = members.withColumn("other", other).select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "root")
-    laid = dealt.join(sets.select("doc_id", "n", "registers"), "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "mine")
-    laid = laid.select("key", "i", "j", "mine", "doc_id", "root", "n", "registers")
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    registers = classes.select(F.col("class").alias("doc_id"), "registers")
+    laid = dealt.join(registers, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "mine").select(Pieces.COLUMNS)
+
+    def look():
+        pieces = Pieces(threshold, slack)
+
+        def run(batches):
+            for name, (mine, ids, root, n, regs) in pieces(batches):
+                some = np.zeros(len(ids), bool)
+                for x, y in pieces.likely(name, mine, root, n, regs):
+                    some[x] = some[y] = True
+                if some.any():
+                    fixed = [pa.array(np.full(int(some.sum()), v), t) for v, t in zip(name, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                    yield pa.record_batch([*fixed, *(pa.array(c[some]) for c in (mine, ids, root, n))], Pieces.COLUMNS[:7])
+
+        return run
+
+    busy = common.materialise(common.map_arrow(laid, "key long, i int, j int, mine int, doc_id long, root long, n long", look), "busy")
+    wanted = busy.select("doc_id").distinct()
+    sets = common.materialise(full_sets(wanted, classes, docs, k), "full-sets")
+    again = busy.join(sets, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "mine").select(*Pieces.COLUMNS, "elements")
+
+    def settle():
+        pieces = Pieces(threshold, slack)
+
+        def run(batches):
+            for name, (mine, ids, root, n, regs, elements) in pieces(batches):
+                parent: dict[int, int] = {}
+                out = []
+
+                def top(r, parent=parent):
+                    while r in parent:
+                        r = parent[r]
+                    return r
+
+                for xs, ys in pieces.likely(name, mine, root, n, regs):
+                    for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+                        a, b = top(root[x]), top(root[y])
+                        if a != b and alike(elements[x], elements[y], per_hundred):
+                            parent[max(a, b)] = min(a, b)
+                            out.append((ids[x], ids[y]))
+                if out:
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+        return run
+
+    return common.map_arrow(again, "a long, b long", settle)
+
+
+def full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """wanted(doc_id) of classes -> doc_id, registers, elements."""
+    where = classes.select(F.col("class"), F.col("doc_id").alias("id"), "mark", "d1", "d2", "registers").join(wanted.withColumnRenamed("doc_id", "class"), "class")
+    texts = marked(docs).withColumnRenamed("doc_id", "id").join(where, ["id", "mark"]).select("class", "text", "d1", "d2", "registers")
 
     def make():
-        keys_of = Bander()
-        waiting: list[tuple] = []
-
-        def compare(key, rows):
-            ids, root, n, mine = (np.concatenate([r[c] for r in rows]) for c in range(4))
-            regs = np.concatenate([r[4] for r in rows])
-            keys = keys_of(regs)
-            band = int(np.argmax(keys[0] == key))
-            left, right = np.flatnonzero(mine == mine.min()), np.flatnonzero(mine == mine.max())
-            for lo in range(0, len(left), 32):
-                a = left[lo : lo + 32]
-                for ro in range(0, len(right), 512):
-                    b = right[ro : ro + 512]
-                    open_pair = root[a][:, None] != root[b]
-                    open_pair &= np.minimum(n[a][:, None], n[b]) >= threshold * np.maximum(n[a][:, None], n[b])
-                    if mine.min() == mine.max():
-                        open_pair &= a[:, None] < b
-                    x, y = (i[k] for i, k in zip((a, b), np.nonzero(open_pair), strict=True))
-                    # a pair is looked at in the first key that it shares
-                    first = ~(keys[x, :band] == keys[y, :band]).any(1)
-                    x, y = x[first], y[first]
-                    larger, smaller = compare_registers(regs[x], regs[y])
-                    some = larger + smaller <= (1 - threshold + slack + 0.05) * REGISTERS
-                    x, y = x[some], y[some]
-                    if len(x):
-                        waiting.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), larger[some], smaller[some], n[x], n[y]))
-
-        def decide():
-            hub, doc, larger, smaller, n_a, n_b = (np.concatenate(c) for c in zip(*waiting, strict=True))
-            waiting.clear()
-            good = estimate(larger, smaller, n_a, n_b) >= threshold - slack
-            return pa.record_batch([pa.array(hub[good]), pa.array(doc[good])], ["hub", "doc_id"])
+        hashes = common.WordHashes()
 
         def run(batches):
-            now, rows = None, []
             for b in batches:
-                if not b.num_rows:
-                    continue
-                key, i, j, mine, ids, root, n = (b.column(c).to_numpy() for c in range(7))
-                regs = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-                for start, stop in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
-                    name = (key[start], i[start], j[start])
-                    if name != now:
-                        if rows:
-                            compare(now[0], rows)
-                        now, rows = name, []
-                        if len(waiting) >= 2000 or waiting and len(waiting[-1][0]) >= 1000:
-                            yield decide()
-                    part = slice(start, stop)
-                    rows.append((ids[part], root[part], n[part], mine[part], regs[part]))
-            if rows:
-                compare(now[0], rows)
-            if waiting:
-                yield decide()
+                rows, size = [], 0
+                for number, text, d1, d2, regs in zip(*b.columns, strict=True):
+                    s = shingles(text.as_py(), hashes, k)
+                    if digest(s) == (d1.as_py(), d2.as_py()):  # else another text of that document, under the same mark
+                        rows.append((number.as_py(), regs.as_py(), s.tobytes()))
+                        size += 8 * len(s)
+                    if size > 8_000_000:
+                        yield batch(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch(rows)
+
+        def batch(rows):
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "registers", "elements"])
 
         return run
 
-    return common.map_arrow(laid, "hub long, doc_id long", make)
+    return common.map_arrow(texts, "doc_id long, registers binary, elements binary", make)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
