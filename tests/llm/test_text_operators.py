@@ -632,3 +632,38 @@ def test_near_dedup_loses_no_pair_at_the_threshold(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.find(docs, k=4).collect()}
     assert all(got[2 * i + 1] == got[2 * i] == 2 * i for i in range(n))
+
+
+def test_near_dedup_blocks_of_a_key_with_an_unlike_hub(spark, monkeypatch):
+    """Noisy copies around the threshold, in many blocks: the same components as from all pairs."""
+    import random
+
+    rng = random.Random(3)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    base = [f"w{i}" for i in range(150)]
+    texts = {}
+    for i in range(70):
+        kept = list(base)
+        for _ in range(8 if i == 0 else rng.choice((2, 3, 4, 5))):
+            kept[rng.randrange(150)] = f"x{i}y{rng.randrange(1000)}"
+        texts[i] = " ".join(kept)
+    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(147)} for i, t in texts.items()}
+    root = {i: i for i in texts}
+    links = [(a, b) for a in texts for b in texts if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k=4).collect()}
+    assert links and 1 < len(set(root.values())) < len(texts) and got == root
+
+
+def test_likelihood_rises_up_to_the_estimate():
+    rng = np.random.default_rng(8)
+    larger, smaller = rng.integers(0, 90, 3000), rng.integers(0, 90, 3000)
+    n_a = rng.integers(50, 60, 3000)
+    n_b = rng.integers(50, 60, 3000)
+    j = near_dedup.estimate(larger, smaller, n_a, n_b)
+    for least in (0.5, 0.67, 0.8):
+        differs = near_dedup.reaches(larger, smaller, n_a, n_b, least) != (j >= least - 1e-9)
+        assert not differs[np.abs(j - least) > 0.006].any()
+    assert near_dedup.reaches(larger, smaller, n_a, n_b, -0.2).all()
