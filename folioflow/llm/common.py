@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: The same as a regular expression's set, without brackets.
 BLANK_SET = r"\x20\x09-\x0D"
+#: Rows of an Arrow batch where a table is written: whole texts travel in them, and are held on both sides of the pipe.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,23 +41,45 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[context.applicationId]
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of at most BATCH_ROWS rows for what runs inside; no result depends on where batches end."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, str(BATCH_ROWS if before <= 0 else min(before, BATCH_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, str(before))
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/folioflow/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]) -> DataFrame:
-    """mapInArrow with per-task set-up: make() runs once in each task."""
+    """mapInArrow with per-task set-up: make() runs once in each task, and what it held goes back to the machine after it."""
 
     def run(batches):
         yield from make()(batches)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Hand a worker's free memory back: it stays for later tasks, idle, beside the executor's heap and the other workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def crc_mod(column: str, divisor: int):
     """crc32 of the id's decimal text, modulo divisor; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % divisor, F.lit(0))
