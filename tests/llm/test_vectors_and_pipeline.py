@@ -1,6 +1,7 @@
 """Neighbours against all inner products; the pipeline against a plain version; the entry's names."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioflow.llm import ann
@@ -104,3 +105,21 @@ def test_queries_are_registered():
     names = set(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
     assert set(entry.oracle_sql()) <= names
+
+
+def test_written_tables_come_from_small_batches(spark):
+    """Batches are bounded while a table is written; the session's own setting is back afterwards, also where the write fails."""
+    from folioflow.llm import common
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes():
+        return lambda batches: (pa.record_batch([pa.array([b.num_rows], pa.int64())], ["n"]) for b in batches)
+
+    counted = common.map_arrow(spark.range(0, 2500, 1, 1), "n long", sizes)
+    assert sorted(r["n"] for r in common.materialise(counted, "sizes").collect()) == [500, 1000, 1000]
+    assert spark.conf.get(key) == before
+    with pytest.raises(Exception):
+        common.materialise(spark.range(1).selectExpr("raise_error('no') AS x"), "fails")
+    assert spark.conf.get(key) == before
