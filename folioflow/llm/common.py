@@ -7,7 +7,6 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +16,8 @@ from pyspark.sql import functions as F
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: The same as a regular expression's set, without brackets.
 BLANK_SET = r"\x20\x09-\x0D"
-#: Rows of an Arrow batch where a table is written: whole texts travel in them, and are held on both sides of the pipe.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch: whole texts travel in them, and are held on both sides of the pipe.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,29 +40,35 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[context.applicationId]
 
 
-@contextmanager
-def small_batches(spark: SparkSession):
-    """Arrow batches of at most BATCH_ROWS rows for what runs inside; no result depends on where batches end."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = int(spark.conf.get(key))
-    spark.conf.set(key, str(BATCH_ROWS if before <= 0 else min(before, BATCH_ROWS)))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, str(before))
+def bound_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session hold BATCH_BYTES at most, or one row; a bound that it has already stays. No result depends on where batches end."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores in front as it takes to clash with no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/folioflow/{tag}-{uuid.uuid4().hex}"
-    with small_batches(spark):
-        df.write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]) -> DataFrame:
-    """mapInArrow with per-task set-up: make() runs once in each task, and what it held goes back to the machine after it."""
+    """mapInArrow with per-task set-up, on batches bounded in bytes: make() runs once in each task, and what it held goes back to the machine after it."""
+    bound_batches(df.sparkSession)
 
     def run(batches):
         yield from make()(batches)

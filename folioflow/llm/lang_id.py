@@ -205,13 +205,14 @@ def fit(docs: DataFrame, held_out, per_class: int = 600, max_rows: int = 4000, p
     df, inside = np.zeros(buckets), totals["bucket"] >= 0
     df[totals["bucket"][inside]] = totals["n"][inside]
     documents = int(totals["n"][~inside].sum())
-    # the sample: a language's rows of smallest draw. A draw that some three times as many rows have thins them out first
+    # the sample: a language's rows of smallest draw, `each` at most, equal rows counted one by one. A draw that some three times as many rows have thins them out first
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11), F.col("text")), F.lit(1_000_000_007))
     share = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, (3 * each + 60) / n)))])
     drawn = known.withColumn("draw", draw).filter(F.col("draw") < F.element_at(share, F.col("lang")) * 1_000_000_007)
-    place = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
-    cuts = drawn.select("lang", "draw").distinct().withColumn("place", place).filter(F.col("place") <= each).groupBy("lang").agg(F.max("draw").alias("cut")).collect()
-    cut = F.create_map(*[x for r in cuts for x in (F.lit(r["lang"]), F.lit(r["cut"]))])
+    # equal rows are one row with a count before they are shuffled, and where they are ranked
+    counted = drawn.groupBy("lang", "draw", "text").agg(F.count(F.lit(1)).alias("copies"))
+    before = F.coalesce(F.sum("copies").over(W.partitionBy("lang").orderBy("draw", "text").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    picked = counted.withColumn("before", before).filter(F.col("before") < each).select("draw", "lang", "text", F.least(F.col("copies"), each - F.col("before")).alias("copies"))
 
     def sample_features():
         grams = Grams(buckets)
@@ -219,19 +220,18 @@ def fit(docs: DataFrame, held_out, per_class: int = 600, max_rows: int = 4000, p
         def run(batches):
             for b in batches:
                 out = []
-                for draw, lang, text in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                for draw, lang, text, copies in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                     counts = grams(text)
                     if counts is not None:
                         at = np.flatnonzero(counts)
-                        out.append((draw, lang, at.astype(np.int32).tobytes(), counts[at].astype(np.int32).tobytes()))
-                cols = list(zip(*out, strict=True)) or [()] * 4
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["draw", "lang", "at", "counts"])
+                        out.append((draw, lang, at.astype(np.int32).tobytes(), counts[at].astype(np.int32).tobytes(), copies))
+                cols = list(zip(*out, strict=True)) or [()] * 5
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["draw", "lang", "at", "counts", "copies"])
 
         return run
 
-    picked = drawn.filter(F.col("draw") <= F.element_at(cut, F.col("lang"))).select("draw", "lang", "text")
-    sample = common.map_arrow(picked, "draw long, lang string, at binary, counts binary", sample_features).orderBy("draw", "lang", "at", "counts").limit(2 * each * len(sizes)).collect()
-    rows = [(sys.intern(r["lang"]), np.frombuffer(r["at"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in sample]
+    sample = common.map_arrow(picked, "draw long, lang string, at binary, counts binary, copies long", sample_features).orderBy("draw", "lang", "at", "counts").collect()
+    rows = [(sys.intern(r["lang"]), np.frombuffer(r["at"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in sample for _ in range(r["copies"])]
     return train(rows, df, documents)
 
 
@@ -241,7 +241,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, st
 
     small = Model(model.classes, model.weights.astype(np.float32), model.bias.astype(np.float32), model.idf.astype(np.float32), model.temperature)
     # texts are handed over once, whether they are kept or only read
-    sent = [F.col(f"`{c}`") for c in keep] + ([] if "text" in keep else [F.col("text").alias("__read")])
+    sent = [F.col(f"`{c}`") for c in keep] + ([] if "text" in keep else [F.col("text").alias(common.fresh(docs, "read")[0])])
     where = keep.index("text") if "text" in keep else len(keep)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
@@ -265,8 +265,9 @@ def held_out(divisor: int = 4, rest: int = 2):
 def keep_known(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
     """docs without those whose language can't be told: no letter, or a calibrated probability under `least`."""
     model = fit(docs, held_out(), **options)
-    found = predict(docs, model, docs.columns, ("__lang_pred", "__score"))
-    rejected = (F.col("__lang_pred") == UNKNOWN) | (F.col("__score") < least)
+    lang, score = common.fresh(docs, "lang_pred", "score")
+    found = predict(docs, model, docs.columns, (lang, score))
+    rejected = (F.col(lang) == UNKNOWN) | (F.col(score) < least)
     return found.filter(~rejected).select(*docs.columns)
 
 

@@ -230,12 +230,15 @@ def rebuild(docs: DataFrame, drops: DataFrame, min_chars: int, fields: str, emit
     """Each row of docs (doc_id and text first) with its lines kept; emit(kept lines, all lines, dropped) -> values of fields."""
     import pyspark.sql.types as T
 
-    lost = drops.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("lost")).withColumnRenamed("doc_id", "__doc")
-    # rows without doc_id lose nothing: they meet no key, and are dealt out by their texts
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).withColumn("__id", F.col("doc_id").isNotNull())
-    lost = lost.select(F.col("__doc").alias("__key"), F.lit(True).alias("__id"), F.col("lost").alias("__lost"))
+    key, known, gone_keys = common.fresh(docs, "key", "known", "lost")
+    # one row a document that loses lines, written so that adaptive execution can split a document's many rows on the other side
+    lost = drops.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("h1", "h2")).alias(gone_keys)).withColumn(known, F.lit(True))
+    lost = common.materialise(lost, "line-drops")
+    # rows without doc_id lose nothing: they meet no key, and are dealt out by their texts and where they are read
+    apart = F.xxhash64(F.col("text"), F.spark_partition_id())
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), apart)).withColumn(known, F.col("doc_id").isNotNull())
     names = docs.columns
-    joined = keyed.join(lost, ["__key", "__id"], "left").select(*[F.col(f"`{c}`") for c in names], "__lost")
+    joined = keyed.join(lost, [key, known], "left").select(*[F.col(f"`{c}`") for c in names], gone_keys)
     added = T._parse_datatype_string(fields)
     schema = T.StructType([*docs.schema.fields, *added.fields])
     where = names.index("text")
@@ -248,7 +251,7 @@ def rebuild(docs: DataFrame, drops: DataFrame, min_chars: int, fields: str, emit
         def run(batches):
             for b in batches:
                 out = []
-                for text, lost in zip(b.column(where), b.column("__lost"), strict=True):
+                for text, lost in zip(b.column(where), b.column(len(names)), strict=True):
                     lines = list(_keys(text.as_py() or "", min_chars))
                     gone = {(x["h1"], x["h2"]) for x in lost.as_py()} if lost.is_valid else ()
                     kept = [line for line, key in lines if key is None or key not in gone]
@@ -265,9 +268,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """docs(doc_id, text, ...) with repeated lines dropped; same columns."""
     columns = docs.columns
     drops = find_drops(docs.select("doc_id", "text"), min_chars, min_docs)
-    out = rebuild(docs, drops, min_chars, "__kept string", lambda kept, n: ("\n".join(kept),))
+    (text,) = common.fresh(docs, "kept_text")
+    out = rebuild(docs, drops, min_chars, f"{text} string", lambda kept, n: ("\n".join(kept),))
     # a text that loses nothing stays as it was, null included
-    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("__kept")))
+    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col(text)))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*columns)

@@ -6,15 +6,17 @@ Two parts, both without Python on the executors:
   source's size), the fill level L solves sum(min(w*L, c)) = budget. Sources sorted by c/w fill up in
   that order, so L follows from running sums; no loop is needed.
 * ``mix`` turns targets into repetitions. Every document gets floor(target/size) whole repetitions.
-  For the rest, a seeded hash deals a source's documents into ``slots`` slots; running sums over the
+  For the rest, a seeded hash of id and text deals a source's documents into ``slots`` slots; running sums over the
   slots (not over documents) find the slot in which the target is reached. Documents in earlier slots
-  get one more whole repetition, those in that slot the same fraction of one, the others none.
+  get one more whole repetition, later ones none. In that slot documents, in the order of their ids, take the same
+  fraction by running rounding: each gets what the rounded running sum grows by. A source's words come within one of its target.
 
 Only (source) and (source, slot) sums are shuffled, both pre-aggregated, so a source with a third of
-all rows costs no more than others. Reruns agree: the hash is md5(seed, doc_id).
+all rows costs no more than others. Of documents, those in the slots that are cut are shuffled, about 1 in ``slots``, and written first; equal
+ones among them (the same id and text, which share any slot) are counted where they are read, and share no task. Reruns agree.
 
 Defined results: null text has size 0; sources of size 0 get target 0; null source is a source, last in
-order; repeated doc_ids are separate rows that share a slot; an empty table gives an empty result; extra
+order; repeated doc_ids and repeated rows are separate rows; a null doc_id comes first in a slot; an empty table gives an empty result; extra
 columns are ignored by ``mix`` and kept by ``repeat_texts``.
 """
 
@@ -28,7 +30,7 @@ from . import common
 
 WORD = rf"[^{common.BLANK_SET}]+"
 WEIGHTS = (5.0, 2.0, 1.0)
-SLOTS = 1024
+SLOTS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -93,45 +95,62 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     )
 
 
-def slot_of(doc_id: Column, seed: str, slots: int) -> Column:
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def slot_of(doc_id: Column, digest: Column, seed: str, slots: int) -> Column:
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), digest)
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % slots).cast("int")
 
 
+def in_cut_slots(rows: DataFrame) -> DataFrame:
+    """rows(doc_id, source, digest, size, part, ...) of the slots that are cut -> plus more: the words each takes of its last repetition.
+
+    A running sum over cells, one for equal documents read in one place, then the place in the cell.
+    """
+    rows = common.materialise(rows.withColumn("at", F.spark_partition_id()), "mixing-cut")
+    key = ["source", "doc_id", "digest", "at"]
+    order = W.partitionBy("source").orderBy(F.asc_nulls_first("doc_id"), "digest", "at").rowsBetween(W.unboundedPreceding, -1)
+    cells = rows.groupBy(*key).agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0)))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in key]
+    placed = rows.alias("r").join(cells.alias("c"), same[0] & same[1] & same[2] & same[3]).select("r.*", "c.before")
+    nth = F.row_number().over(W.partitionBy(*key).orderBy("digest"))
+    upto = F.col("before") + (nth - 1) * F.col("size")
+    rounded = lambda x: F.floor(x * F.col("part") + F.lit(0.5))
+    return placed.withColumn("more", rounded(upto + F.col("size")) - rounded(upto)).drop("before", "at")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix", slots: int = SLOTS, keep: list[str] | None = None) -> DataFrame:
-    """docs(doc_id, text, source) -> doc_id, size, source_size, target, taken, and whole and extra (the fraction) behind it.
+    """docs(doc_id, text, source) -> doc_id, size, source_size, target, whole, source, taken.
 
-    taken = whole repetitions times size plus the rounded fraction; never above max_epochs times size.
-    keep: further columns of docs to carry along.
+    taken = whole repetitions times size plus the words of the last one; never above max_epochs times size.
+    keep: further columns of docs to carry along, none of which may have a name of the result's.
     """
     keep = [c for c in keep or [] if c not in ("doc_id", "source")]
-    base = docs.select("doc_id", F.col("source").alias("__source"), word_count(F.col("text")).alias("__size"), slot_of(F.col("doc_id"), seed, slots).alias("__slot"), *keep)
-    sized = base.select(F.col("__source").alias("source"), F.col("__slot").alias("slot"), F.col("__size").alias("size"))
-    chosen = plan(sized, weights, share, max_epochs, slots)
-    extra = F.when(F.col("d.__slot") < F.col("p.edge_slot"), F.lit(1.0)).when(F.col("d.__slot") == F.col("p.edge_slot"), F.col("p.part")).otherwise(F.lit(0.0))
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), digest.alias("digest"), slot_of(F.col("doc_id"), digest, seed, slots).alias("slot"), *keep)
+    chosen = plan(base.select("source", "slot", "size"), weights, share, max_epochs, slots)
     # one row a source: adaptive execution broadcasts it when its measured size allows, or splits a hot source's partition
-    joined = base.alias("d").join(chosen.alias("p"), F.col("d.__source").eqNullSafe(F.col("p.source")))
-    return joined.select(
-        F.col("d.doc_id").alias("doc_id"), F.col("d.__size").alias("size"), F.col("p.source_size").cast("long").alias("source_size"), F.col("p.target").alias("target"),
-        F.col("p.whole").alias("whole"), extra.alias("extra"), F.col("d.__source").alias("source"), *[F.col(f"d.{c}").alias(c) for c in keep],
-    ).withColumn("taken", (F.col("whole") * F.col("size") + F.floor(F.col("size") * F.col("extra") + F.lit(0.5))).cast("long"))
+    joined = base.alias("d").join(chosen.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    joined = joined.select("d.*", F.col("p.source_size").cast("long").alias("source_size"), "p.target", "p.whole", "p.edge_slot", "p.part")
+    outside = joined.filter(F.col("slot") != F.col("edge_slot")).withColumn("more", F.when(F.col("slot") < F.col("edge_slot"), F.col("size")).otherwise(F.lit(0).cast("long")))
+    inside = in_cut_slots(joined.filter(F.col("slot") == F.col("edge_slot")))
+    taken = (F.col("whole") * F.col("size") + F.col("more")).cast("long").alias("taken")
+    return outside.unionByName(inside).select("doc_id", "size", "source_size", "target", "whole", "source", *keep, taken)
 
 
 def repeat_texts(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: docs' rows repeated whole, and a first part of the text for the fraction; docs' columns."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    mixed = mix(docs.select("doc_id", "text", "source", row), keep=["text", "__row"], **options)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    mixed = mix(docs.select("doc_id", "text", "source", row), keep=["text", "row"], **options)
     part = F.col("taken") - F.col("whole") * F.col("size")
     # copies: `whole` full rows and one of `part` words (full again if the fraction is 1)
     lengths = F.concat(F.array_repeat(F.col("size"), F.col("whole").cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    rows = mixed.withColumn("__length", F.explode(lengths))
+    rows = mixed.withColumn("length", F.explode(lengths))
     pieces = F.regexp_extract_all(F.col("text"), F.lit(rf"[{common.BLANK_SET}]*{WORD}"), F.lit(0))
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("__length").cast("int")), "")
-    text = F.when(F.col("__length") >= F.col("size"), F.col("text")).otherwise(cut)
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("length").cast("int")), "")
+    text = F.when(F.col("length") >= F.col("size"), F.col("text")).otherwise(cut)
     fresh = {"text": text}
     if "n_chars" in docs.columns:
         fresh["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[fresh.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
+    return rows.select(*[fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,10 +160,12 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same in DuckDB: running sums over sources, then over slots.
 ORACLE = """
-WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) % 1024 AS slot
+WITH x AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest
   FROM documents),
+d AS (
+  SELECT *, row_number() OVER () AS r, CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest), 1, 8)) AS BIGINT) % 4096 AS slot
+  FROM x),
 cells AS (SELECT source, slot, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY source, slot),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM cells GROUP BY source),
 w AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, size * 2.0::DOUBLE AS cap FROM s),
@@ -166,12 +187,17 @@ r AS (
 edge AS (
   SELECT source, min(slot) AS slot, arg_min((rest - before) / size, slot) AS part
   FROM r WHERE before < rest AND before + size >= rest GROUP BY source),
-tops AS (SELECT source, max(rest) AS rest FROM r GROUP BY source)
+tops AS (SELECT source, max(rest) AS rest FROM r GROUP BY source),
+cut AS (
+  SELECT d.r, d.size, edge.part, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.doc_id NULLS FIRST, d.digest, d.r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS upto
+  FROM d JOIN edge ON d.source IS NOT DISTINCT FROM edge.source AND d.slot = edge.slot),
+more AS (SELECT r, floor((upto + size) * part + 0.5::DOUBLE) - floor(upto * part + 0.5::DOUBLE) AS more FROM cut)
 SELECT d.doc_id, d.size, e.source_size, e.target,
-       CAST(e.whole * d.size + floor(d.size * CASE
-         WHEN d.slot < coalesce(edge.slot, CASE WHEN tops.rest > 0 THEN 1024 ELSE -1 END) THEN 1.0::DOUBLE
-         WHEN d.slot = edge.slot THEN edge.part ELSE 0.0::DOUBLE END + 0.5::DOUBLE) AS BIGINT) AS taken
+       CAST(e.whole * d.size + CASE
+         WHEN d.slot < coalesce(edge.slot, CASE WHEN tops.rest > 0 THEN 4096 ELSE -1 END) THEN d.size
+         WHEN d.slot = edge.slot THEN more.more ELSE 0 END AS BIGINT) AS taken
 FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
 JOIN tops ON d.source IS NOT DISTINCT FROM tops.source
 LEFT JOIN edge ON d.source IS NOT DISTINCT FROM edge.source
+LEFT JOIN more ON d.r = more.r
 """

@@ -532,8 +532,9 @@ def full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int) ->
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without all but the first of each component; same columns."""
     found = find(docs, **options)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    (name,) = common.fresh(docs, "gone")
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
