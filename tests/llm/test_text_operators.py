@@ -74,6 +74,20 @@ def test_language_id_sample_is_even_and_bounded(spark):
     assert seen.count("small") == 40 and 45 <= seen.count("big") <= 100
 
 
+def test_language_id_sample_keeps_rare_languages_beside_repeated_rows(spark, monkeypatch):
+    rows = [(10_000 * n + i, f"{chr(97 + n) * 3} {i}", f"l{n}") for n in range(3) for i in range(2000)] * 3 + [(90_000 + i, f"xyz {i}", "rare") for i in range(30)] + [(5, "one row many times", "hot")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen, original = [], lang_id.train
+
+    def spy(sample, *rest, **options):
+        seen.extend(lang for lang, _, _ in sample)
+        return original(sample, *rest, **options)
+
+    monkeypatch.setattr(lang_id, "train", spy)
+    lang_id.fit(docs, lang_id.F.lit(False), per_class=60)
+    assert seen.count("rare") == 30 and seen.count("hot") in (0, 60) and all(30 <= seen.count(f"l{n}") <= 60 for n in range(3))
+
+
 def test_language_id_against_plain_version(spark, docs, corpus):
     """idf, features, probabilities: worked out with dictionaries from the model's weights."""
     model = lang_id.fit(docs, lang_id.held_out())
@@ -244,6 +258,20 @@ def test_mixing_repeats_texts(docs):
     assert sum(len(words(r["text"])) for r in out.select("text").collect()) == taken
 
 
+@pytest.mark.parametrize("ids", [[None] * 1000, [7] * 1000, list(range(1000))])
+def test_mixing_of_rows_that_share_a_slot(spark, ids):
+    """Equal rows, rows of one id and rows without an id come to the target as others do."""
+    docs = spark.createDataFrame([(i, "word", "a") for i in ids], "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix(docs).collect()
+    assert got[0]["target"] == 1500 and sum(r["taken"] for r in got) == 1500 and {r["taken"] for r in got} == {1, 2}
+    assert mixing.repeat_texts(docs).count() == 1500
+    mixed = docs.withColumn("text", mixing.F.concat_ws(" ", "text", mixing.F.monotonically_increasing_id())).unionByName(docs.withColumn("source", mixing.F.lit(None).cast("string")))
+    sums = defaultdict(int)
+    for r in mixing.mix(mixed).collect():
+        sums[r["source"], r["target"]] += r["taken"]
+    assert all(abs(taken - target) <= 1 for (_, target), taken in sums.items())
+
+
 def test_mixing_empty(empty):
     assert mixing.mix(empty).count() == 0 and mixing.repeat_texts(empty).count() == 0
 
@@ -275,6 +303,14 @@ def test_line_dedup(docs, corpus, monkeypatch):
     assert line_dedup.dedup_lines(docs).columns == docs.columns
 
 
+def test_line_dedup_of_rows_without_ids(spark):
+    line = "a line that is long enough to be found in many documents"
+    rows = [(None, None)] * 50 + [(None, line)] * 6 + [(i, f"{line}\nown {i}") for i in range(5)] + [(4, None)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).collect())
+    assert got == Counter([(None, None)] * 50 + [(None, line)] * 6 + [(i, f"own {i}") for i in range(4)] + [(4, f"{line}\nown 4")] + [(4, None)] * 40)
+
+
 def test_line_dedup_empty(empty):
     assert line_dedup.digests(empty).count() == 0
 
@@ -476,6 +512,91 @@ def test_toxicity_finds_planted(spark):
     assert all(r["score"] < 1e-6 for r in toxicity.score(docs, none).collect())
 
 
+def test_toxicity_against_plain_version(spark):
+    """Weights, calibration and score worked out again with loops, for ties, repeated rows, several texts an id and unlabelled rows."""
+    import random
+
+    rng = random.Random(6)
+    plain = ["".join(rng.choices("abcdefghij", k=3)) for _ in range(150)]
+    rows, labels = [], []
+    for i in range(300):
+        w = [rng.choice(plain) for _ in range(rng.randint(5, 40))]
+        if i % 4 == 0:
+            w[rng.randrange(len(w)) :] = ["zzz", "yyy"] * rng.randint(1, 3)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    rows += [rows[0]] * 9 + [(8, "another text of one id"), (400, None), (401, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), strength=50.0)
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    hashed = {r["doc_id"]: r["text"] for r in docs.selectExpr("doc_id", "text", "xxhash64(text) h").filter("text is not null").orderBy(toxicity.F.desc("h")).collect()}  # the last: the smallest hash
+    sample = [(i, y, (hashed[i]).encode().split()) for i, y in labels if not held(i)]
+    order = {r["doc_id"]: n for n, r in enumerate(docs.select("doc_id").distinct().orderBy(toxicity.F.xxhash64("doc_id", toxicity.F.lit(23)), "doc_id").collect())}
+    sample.sort(key=lambda s: order[s[0]])
+    share, fold = toxicity.copies([w for _, _, w in sample])
+    prior = Counter(w for _, text in rows for w in (text or "").encode().split())
+    vocabulary = sorted({w for _, y, words in sample if y for w in words})
+    a0 = {w: 50.0 * (prior[w] + 0.5) / sum(prior[v] + 0.5 for v in vocabulary) + 1e-3 for w in vocabulary}
+
+    def weights(chosen):
+        count = [Counter(), Counter()]
+        for k in chosen:
+            for w in sample[k][2]:
+                if w in a0:
+                    count[sample[k][1]][w] += share[k]
+        n, a = [sum(c.values()) for c in count], sum(a0.values())
+        out = {}
+        for w in vocabulary:
+            odds = [math.log((count[y][w] + a0[w]) / (n[y] + a - count[y][w] - a0[w])) for y in (0, 1)]
+            error = math.sqrt(sum(1 / (count[y][w] + a0[w]) for y in (0, 1)))
+            if odds[1] - odds[0] > 0.5 and (odds[1] - odds[0]) / error >= 3:
+                out[w] = min(odds[1] - odds[0], 8.0)
+        # lambda: the root of the mean of exp(lambda * score) over clean words, by bisection
+        shares = [(count[0][w] + 0.5 / max(1, len(out)), v - 0.5) for w, v in out.items()] + [(sum(count[0][w] for w in vocabulary if w not in out), -0.5), (max(1.0, n[0]), -0.5)]
+        low, high = 0.0, 50.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(s * math.exp(min(mid * x, 600)) for s, x in shares) < sum(s for s, _ in shares) else (low, mid)
+        return out, (low + high) / 2
+
+    def best_segments(weight, rate, words):
+        s, found = [weight.get(w, 0.0) - 0.5 for w in words], []
+
+        def split(a, b):  # the best stretch, the longest of equals, then what is left beside it
+            top = max(((sum(s[i:j]), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0), key=lambda t: (round(t[0], 9), t[2] - t[1], -t[1]))
+            if top[0] > 0:
+                found.append(rate * top[0] - math.log(len(words)))
+                split(a, top[1])
+                split(top[2], b)
+
+        split(0, len(s))
+        return found
+
+    everything, rate = weights(range(len(sample)))
+    assert model.weights == pytest.approx(everything, rel=1e-9) and set(everything) == {b"zzz", b"yyy"}
+    aside = {}
+    for f in range(toxicity.FOLDS):
+        learned = weights([k for k in range(len(sample)) if fold[k] != f])
+        aside |= {k: best_segments(*learned, sample[k][2]) for k in range(len(sample)) if fold[k] == f}
+    clean = sorted((max(aside[k]), share[k]) for k in range(len(sample)) if not sample[k][1] and aside[k])
+    location, spread = 0.0, 1.0
+    if len(clean) >= 20:
+        raise AssertionError("clean texts hold none of the two words here")
+    some = (sum(w for _, w in clean) + 0.5) / (sum(share[k] for k in range(len(sample)) if not sample[k][1]) + 1)
+    assert (model.location, model.spread) == (location, spread) and model.any_share == pytest.approx(some)
+    for i, text in rows[:60]:
+        z = sorted(((x - location) / spread for x in best_segments(everything, rate, text.encode().split())), reverse=True)
+        one = -math.log(-math.expm1(-math.exp(-z[0]))) - math.log(some) if z else 0.0
+        sums = [sum(z[:r]) - (r - 1) * math.log(sum(z[:r])) + math.lgamma(r + 1) + math.lgamma(r) for r in range(1, len(z) + 1) if z[r - 1] > 0]
+        got = model.features(model.spans(text.encode().split()))
+        assert got[:2] == pytest.approx((one, max([one, *sums]) if z else 0.0), rel=1e-5, abs=1e-5)
+        a, b, c = model.logistic
+        want = 1 / (1 + math.exp(-(a * min(got[0], 12) + b * min(got[1], 24) + c)))
+        assert model.score(*got[:2]) == pytest.approx(want)
+    assert toxicity.score(docs, model).count() == len(rows)
+
+
 @pytest.mark.parametrize("options", [{}, {"shard_words": 500, "dense": 4, "group": 1}])
 def test_search_against_all_scores(docs, corpus, options):
     asked = docs.filter("doc_id % 10 = 0").selectExpr("doc_id as query_id", "text")
