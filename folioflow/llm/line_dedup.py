@@ -238,7 +238,8 @@ def rebuild(docs: DataFrame, drops: DataFrame, min_chars: int, fields: str, emit
     apart = F.xxhash64(F.col("text"), F.spark_partition_id())
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), apart)).withColumn(known, F.col("doc_id").isNotNull())
     names = docs.columns
-    joined = keyed.join(lost, [key, known], "left").select(*[F.col(f"`{c}`") for c in names], gone_keys)
+    # one kind of join at every size: texts are dealt by document and merged, whether what they lose is small or not
+    joined = keyed.join(lost.hint("merge"), [key, known], "left").select(*[F.col(f"`{c}`") for c in names], gone_keys)
     added = T._parse_datatype_string(fields)
     schema = T.StructType([*docs.schema.fields, *added.fields])
     where = names.index("text")
