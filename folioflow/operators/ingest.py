@@ -12,17 +12,11 @@ from ..sources.html import html_blocks
 R = Registry()
 
 
-@R.query("ING-01 ING-04 ING-06 ING-10 UDF-04 SRC-02")
+@R.query("ING-01 ING-04 ING-06 ING-10 UDF-04")
 def html_block_rows(spark, sf_dir):
     return html_blocks(table(spark, sf_dir, "pages"), "page_id").select("page_id", "seq", "kind", "block_id", "text")
 
 
-@R.query("ING-11 ING-20")
-def page_images(spark, sf_dir):
-    b = html_blocks(table(spark, sf_dir, "pages"), "page_id")
-    return b.filter("kind = 'image'").select("page_id", "seq", F.col("attributes")["src"].alias("src"))
-
-
 @R.query("STR-09 STR-10 UDF-01")
 def turn_diffs(spark, sf_dir):
     """Word differences between a user's turn and the answer to it."""

@@ -246,7 +246,7 @@ def merged_findings(spark, sf_dir):
     return f.select("k", "n", c.alias("confidence"), F.greatest("p1", "p2").alias("stricter"))
 
 
-@R.query("SRC-12 SRC-13 MUT-01 MUT-02", """WITH stored AS (SELECT doc_id AS id, quality AS v FROM labels), fresh AS (SELECT doc_id AS id, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS v FROM documents WHERE lang <> 'fr')
+@R.query("SRC-12 SET-05", """WITH stored AS (SELECT doc_id AS id, quality AS v FROM labels), fresh AS (SELECT doc_id AS id, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS v FROM documents WHERE lang <> 'fr')
 SELECT coalesce(f.id, s.id) AS id, coalesce(f.v, s.v) AS v, CASE WHEN s.id IS NULL THEN 'inserted' WHEN f.id IS NULL THEN 'stale' WHEN s.v = f.v THEN 'equal' ELSE 'updated' END AS action FROM stored s FULL JOIN fresh f ON s.id = f.id""")
 def upsert_merge(spark, sf_dir):
     """Stored rows against a bundle's: inserted, updated, equal (skipped) or stale."""

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from ..operators import blocks, ingest, ledger, levels, lexical, providers, relations, vectors
-from ..streaming import events
+from ..operators import blocks, chapters, corrections, ingest, ledger, levels, lexical, providers, relations, vectors, versions
+from ..streaming import events, production
 from .registry import Query, Registry
 
 FLAGSHIP = "spend_lines"
 
 ALL = Registry()
-for part in (ledger, blocks, lexical, relations, levels, vectors, ingest, providers, events):
+for part in (ledger, blocks, chapters, lexical, relations, levels, vectors, ingest, providers, versions, corrections, events, production):
     ALL.include(part.R)
 
 QUERIES: dict[str, Query] = ALL.queries

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +45,21 @@ def shared_folder(spark: SparkSession) -> str:
     if context.applicationId not in _OWN:
         _OWN[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='folioflow-')}"
     return _OWN[context.applicationId]
+
+
+#: Bytes of an Arrow batch where whole files or texts travel in it.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session hold BATCH_BYTES at most, or one row; a bound that it has already stays. No result depends on where batches end."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """A table written to the shared folder and read back: lineage ends there, and a lost executor costs nothing that was done before."""
+    path = f"{shared_folder(df.sparkSession)}/folioflow/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import io
 import posixpath
 import re
-import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .epub import Archive
+from .epub import local_name as _name
 from .html import PREFIXES, read_blocks, squeeze
 
 SUFFIXES = {".epub": "epub", ".xml": "tei", ".tei": "tei"}
@@ -27,10 +27,6 @@ def source_kind(path: str) -> str:
     return SUFFIXES[suffix]
 
 
-def _name(element) -> str:
-    return element.tag.rsplit("}", 1)[-1]
-
-
 def parse_xml(data: bytes):
     """An XML tree; documents that define entities are refused."""
     if b"<!ENTITY" in data[:100_000]:
@@ -40,27 +36,9 @@ def parse_xml(data: bytes):
 
 def epub_documents(data: bytes) -> Iterator[tuple[int, str, str, dict[str, str]]]:
     """(position, name, html, metadata) of the spine's documents, in order, each once, without navigation."""
-    z = zipfile.ZipFile(io.BytesIO(data))
-    container = parse_xml(z.read("META-INF/container.xml"))
-    opf_path = next(e.get("full-path") for e in container.iter() if _name(e) == "rootfile")
-    opf = parse_xml(z.read(opf_path))
-    meta = {}
-    for e in opf.iter():
-        if _name(e) in ("title", "creator", "language", "identifier") and (text := squeeze("".join(e.itertext()))):
-            meta.setdefault({"creator": "author"}.get(_name(e), _name(e)), text)
-    for needed in ("title", "language"):
-        if needed not in meta:
-            raise ValueError(f"the file has no {needed}")
-    meta.setdefault("author", "Unknown")
-    items = {e.get("id"): e for e in opf.iter() if _name(e) == "item"}
-    seen = set()
-    for ref in (e for e in opf.iter() if _name(e) == "itemref"):
-        item = items.get(ref.get("idref"))
-        if item is None or "nav" in (item.get("properties") or "").split() or item.get("href") in seen:
-            continue
-        seen.add(item.get("href"))
-        name = posixpath.normpath(posixpath.join(posixpath.dirname(opf_path), item.get("href")))
-        yield len(seen), name, z.read(name).decode("utf-8", "replace"), meta
+    archive = Archive(data)
+    for n, name in enumerate(archive.documents, 1):
+        yield n, name, archive.text(name), archive.meta
 
 
 def tei_sections(root) -> Iterator[object]:

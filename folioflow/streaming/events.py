@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..session import shared_folder, table
+from ..sources.store import Store
 
 R = Registry()
 
@@ -63,16 +64,28 @@ def deduplicated_runs(spark, sf_dir):
     return drain(twice.select("event_id"), "append").agg(F.count(F.lit(1)).alias("runs"))
 
 
-def upsert(target: str):
-    """foreachBatch: latest row of a key wins, written as a whole next to the old version and then read from there."""
+def upserting(store: Store, order: list[str]):
+    """foreachBatch into a store: of a key's rows the last by order wins, over micro-batches too. A batch that comes again writes nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
-        newest = batch.groupBy("event_id").agg(F.max_by(F.struct(*batch.columns), "ts").alias("r")).select("r.*")
-        newest.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        newest = batch.groupBy(store.key).agg(F.max_by(F.struct(*store.schema.names), F.struct(*order)).alias("r")).select("r.*")
+        have = store.read().select(store.key, F.struct(*order).alias("have"))
+        fresh = newest.join(have, store.key, "left").filter(F.col("have").isNull() | (F.struct(*order) > F.col("have"))).select(*store.schema.names)
+        store.upsert(fresh)
 
     return write
 
 
+@R.query("STRM-01 SRC-13", "SELECT user_id, arg_max(event_id, {a: ts, b: event_id}) AS event_id, arg_max(event_type, {a: ts, b: event_id}) AS event_type, max(ts) AS ts FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def streamed_latest(spark, sf_dir):
+    """Each account's last call, kept in a stored table by a stream."""
+    folder = f"{shared_folder(spark)}/folioflow/latest-{uuid.uuid4().hex}"
+    store = Store(spark, f"{folder}/table", "user_id long, event_id long, event_type string, ts timestamp_ntz", "user_id", "user_id", buckets=8)
+    calls = stream(spark, sf_dir).filter("user_id is not null").select(*store.schema.names)
+    calls.writeStream.foreachBatch(upserting(store, ["ts", "event_id"])).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return store.read()
+
+
 STEPS = {"queued": "ingest", "ingest": "split", "split": "lexical", "lexical": "review", "review": "published"}
 
 
