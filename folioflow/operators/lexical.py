@@ -119,45 +119,6 @@ def attested_vocabulary(spark, sf_dir):
     return useful(b).join(here, ["doc_id", "lemma"]).groupBy("doc_id", "chapter").agg(F.count(F.lit(1)).alias("attested"), F.bool_and(F.col("score") > 0).alias("ready"))
 
 
-def pairs(b: DataFrame, gap: str) -> DataFrame:
-    """Neighbouring words of a block with what stands between them; pairs overlap."""
-    cut = F.regexp_extract_all("text", F.lit(rf"\p{{L}}+|[^\p{{L}}]+"), F.lit(0))
-    shifted = F.arrays_zip(cut.alias("left"), F.slice(cut, F.lit(2), F.size(cut)).alias("gap"), F.slice(cut, F.lit(3), F.size(cut)).alias("right"))
-    p = b.select("doc_id", "lang", "pos", F.posexplode(shifted).alias("i", "s")).select("doc_id", "lang", "pos", "i", "s.*")
-    return p.filter(F.col("gap").rlike(gap) & F.col("left").rlike(r"^\p{L}") & F.col("right").isNotNull()).drop("gap")
-
-
-_PAIRS = TOKENS + r""",
-cuts AS (SELECT doc_id, lang, pos, unnest(regexp_extract_all(text, '\p{L}+|[^\p{L}]+')) AS piece, generate_subscripts(regexp_extract_all(text, '\p{L}+|[^\p{L}]+'), 1) - 1 AS i FROM blocks),
-trio AS (SELECT doc_id, lang, pos, i, piece AS "left", lead(piece) OVER w AS gap, lead(piece, 2) OVER w AS "right" FROM cuts WINDOW w AS (PARTITION BY doc_id, pos ORDER BY i))"""
-
-
-def joined(p: DataFrame, z: DataFrame) -> DataFrame:
-    """Frequencies of a pair's joined spelling and of both halves; 0 for words never seen."""
-    for name, key in (("z_joined", F.lower(F.concat("left", "right"))), ("z_left", F.lower("left")), ("z_right", F.lower("right"))):
-        p = p.withColumn("lemma", key).join(z.withColumnRenamed("zipf", name), ["lang", "lemma"], "left").drop("lemma").withColumn(name, F.coalesce(name, F.lit(0.0)))
-    return p
-
-
-@R.query("", f"""WITH {_PAIRS}, z AS (SELECT t.*, coalesce(a.zipf, 0) AS zj, coalesce(b.zipf, 0) AS zl, coalesce(c.zipf, 0) AS zr FROM trio t
-  LEFT JOIN zipf a ON a.lang = t.lang AND a.lemma = lower("left" || "right") LEFT JOIN zipf b ON b.lang = t.lang AND b.lemma = lower("left") LEFT JOIN zipf c ON c.lang = t.lang AND c.lemma = lower("right")
-  WHERE regexp_matches("left", '^\\p{{L}}{{2,}}$') AND regexp_matches(gap, '^[ \\t]+$') AND length("right") >= 2 AND least(length("left"), length("right")) <= 3),
-f AS (SELECT *, CASE WHEN length("left") <= 3 AND zl < 4.2 THEN zl END AS fl, CASE WHEN length("right") <= 3 AND zr < 4.2 THEN zr END AS fr FROM z WHERE zj >= 3)
-SELECT doc_id, pos, CAST(i AS INTEGER) AS i, "left" || "right" AS suggested, round(least(0.9, 0.6 + (zj - least(fl, fr) - 1) * 0.1), 6) AS confidence FROM f WHERE least(fl, fr) IS NOT NULL AND zj - least(fl, fr) >= 1""")
-def split_words(spark, sf_dir):
-    """Two words that are one word split by a blank, by frequencies alone: the joined spelling is known and much more frequent than the
-    fragment. Looser than TXT-15, which attested_split_words has."""
-    b = blocks(spark, sf_dir)
-    p = pairs(b, r"^[ \t]+$").filter((F.length("left") >= 2) & (F.length("right") >= 2) & (F.least(F.length("left"), F.length("right")) <= 3))
-    # frequencies of distinct pairs, then back to where they stand
-    kinds = joined(p.select("lang", "left", "right").distinct(), zipf_table(by_document(tokens(b)))).filter("z_joined >= 3")
-    z = p.join(kinds, ["lang", "left", "right"])
-    half = lambda word, zipf: F.when((F.length(word) <= 3) & (F.col(zipf) < 4.2), F.col(zipf))
-    rarest = F.least(half("left", "z_left"), half("right", "z_right"))
-    f = z.withColumn("rarity", F.col("z_joined") - rarest).filter("rarity >= 1")
-    return f.select("doc_id", "pos", "i", F.concat("left", "right").alias("suggested"), F.round(F.least(F.lit(0.9), 0.6 + (F.col("rarity") - 1) * 0.1), 6).alias("confidence"))
-
-
 def word_pairs(d: DataFrame, gap: str) -> DataFrame:
     """d(text, ...) -> ..., i, left, right: pairs of whole words of two letters or more with that gap between them; pairs overlap."""
     keys = [c for c in d.columns if c != "text"]
@@ -170,64 +131,6 @@ def word_pairs(d: DataFrame, gap: str) -> DataFrame:
     return p.filter(F.col("left").rlike(r"^\p{L}{2,}$") & (F.length("right") >= 2) & whole).drop("before", "after")
 
 
-@R.query("TXT-15", f"""WITH {_PAIRS}, near AS (SELECT *, lag("left") OVER w AS before, lead("left", 3) OVER w AS after FROM trio WINDOW w AS (PARTITION BY doc_id, pos ORDER BY i)), seen AS (SELECT doc_id, lang, lemma, count(*) AS n FROM tokens GROUP BY ALL),
-z AS (SELECT t.*, coalesce(a.zipf, 0) AS zj, coalesce(b.zipf, 0) AS zl, coalesce(c.zipf, 0) AS zr, coalesce(p.n, 0) AS nj, coalesce(q.n, 0) AS nl, coalesce(r.n, 0) AS nr FROM near t
-  LEFT JOIN zipf a ON a.lang = t.lang AND a.lemma = lower("left" || "right") LEFT JOIN zipf b ON b.lang = t.lang AND b.lemma = lower("left") LEFT JOIN zipf c ON c.lang = t.lang AND c.lemma = lower("right")
-  LEFT JOIN seen p ON p.doc_id = t.doc_id AND p.lang = t.lang AND p.lemma = lower("left" || "right") LEFT JOIN seen q ON q.doc_id = t.doc_id AND q.lang = t.lang AND q.lemma = lower("left") LEFT JOIN seen r ON r.doc_id = t.doc_id AND r.lang = t.lang AND r.lemma = lower("right")
-  WHERE regexp_matches("left", '^\\p{{L}}{{2,}}$') AND regexp_matches(gap, '^[ \\t]+$') AND length("right") >= 2 AND NOT regexp_matches(coalesce(before, ''), '[\\p{{N}}_]$') AND NOT regexp_matches(coalesce(after, ''), '^[\\p{{N}}_]')),
-f AS (SELECT *, CASE WHEN length("left") <= 3 AND (zl < 2.5 OR (zl < 4.2 AND nj >= 2 AND nl = 1)) THEN zl END AS fl, CASE WHEN length("right") <= 3 AND (zr < 2.5 OR (zr < 4.2 AND nj >= 2 AND nr = 1)) THEN zr END AS fr FROM z WHERE zj >= 3)
-SELECT doc_id, pos, CAST(i AS INTEGER) AS i, "left" || "right" AS suggested, round(CASE WHEN nj >= 2 THEN least(0.98, least(0.9, 0.6 + (zj - least(fl, fr) - 1) * 0.1) + 0.08) ELSE least(0.9, 0.6 + (zj - least(fl, fr) - 1) * 0.1) END, 6) AS confidence
-FROM f WHERE least(fl, fr) IS NOT NULL AND zj - least(fl, fr) >= 1""")
-def attested_split_words(spark, sf_dir):
-    """Two words that are one word split by a blank: a fragment of at most three letters is no word (Zipf under 2.5), or is rare (under
-    4.2) and its edition vouches, where the joined word stands twice and the fragment only here."""
-    b = blocks(spark, sf_dir)
-    p = word_pairs(b.select("doc_id", "lang", "pos", "text"), r"^[ \t]+$").filter((F.length("left") <= 3) | (F.length("right") <= 3))
-    p = p.withColumn("l", F.lower("left")).withColumn("r", F.lower("right"))
-    seen = by_document(tokens(b))
-    # frequencies of distinct pairs; only those that can pass meet the editions
-    short = lambda side: F.when(F.col(f"z_{side}") < 4.2, F.col(f"z_{side}"))
-    kinds = joined(p.select("lang", F.col("l").alias("left"), F.col("r").alias("right")).distinct(), zipf_table(seen))
-    kinds = kinds.filter((F.col("z_joined") >= 3) & (F.col("z_joined") - F.least(short("left"), short("right")) >= 1))
-    z = p.join(kinds.withColumnsRenamed({"left": "l", "right": "r"}), ["lang", "l", "r"])
-    for name, key in (("n_joined", F.lower(F.concat("left", "right"))), ("n_left", F.lower("left")), ("n_right", F.lower("right"))):
-        z = z.withColumn("lemma", key).join(seen.withColumnRenamed("n", name), ["doc_id", "lang", "lemma"], "left").drop("lemma").withColumn(name, F.coalesce(name, F.lit(0)))
-    rare = lambda side: (F.col(f"z_{side}") < 2.5) | ((F.col(f"z_{side}") < 4.2) & (F.col("n_joined") >= 2) & (F.col(f"n_{side}") == 1))
-    half = lambda side: F.when((F.length(side) <= 3) & rare(side), F.col(f"z_{side}"))
-    f = z.withColumn("rarity", F.col("z_joined") - F.least(half("left"), half("right"))).filter("rarity >= 1")
-    sure = F.least(F.lit(0.9), 0.6 + (F.col("rarity") - 1) * 0.1)
-    sure = F.when(F.col("n_joined") >= 2, F.least(F.lit(0.98), sure + 0.08)).otherwise(sure)
-    return f.select("doc_id", "pos", "i", F.concat("left", "right").alias("suggested"), F.round(sure, 6).alias("confidence"))
-
-
-@R.query("TXT-13", rf"""WITH {TOKENS}, lines AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
-cuts AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '\p{{L}}+|[^\p{{L}}]+')) AS piece, generate_subscripts(regexp_extract_all(text, '\p{{L}}+|[^\p{{L}}]+'), 1) - 1 AS i FROM lines),
-trio AS (SELECT doc_id, lang, i, lag(piece) OVER w AS before, piece AS "left", lead(piece) OVER w AS gap, lead(piece, 2) OVER w AS "right", lead(piece, 3) OVER w AS after FROM cuts WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-z AS (SELECT t.*, coalesce(a.zipf, 0) AS zj, coalesce(b.zipf, 0) AS zl, coalesce(c.zipf, 0) AS zr FROM trio t
-  LEFT JOIN zipf a ON a.lang = t.lang AND a.lemma = lower("left" || "right") LEFT JOIN zipf b ON b.lang = t.lang AND b.lemma = lower("left") LEFT JOIN zipf c ON c.lang = t.lang AND c.lemma = lower("right")
-  WHERE regexp_matches("left", '^\p{{L}}{{2,}}$') AND regexp_matches(gap, '^-[ \t\r\n]+$') AND length("right") >= 2 AND NOT regexp_matches(coalesce(before, ''), '[\p{{N}}_]$') AND NOT regexp_matches(coalesce(after, ''), '^[\p{{N}}_]'))
-SELECT doc_id, CAST(i AS INTEGER) AS i, "left" || "right" AS suggested, round(least(0.98, 0.7 + (zj - least(zl, zr)) / 2), 3) AS confidence FROM z WHERE zj >= 3 AND zj >= least(zl, zr)""")
-def broken_hyphens(spark, sf_dir):
-    """A word broken by a hyphen and a blank or a line's end: the joined spelling is known and no rarer than the pair, whose frequency is
-    that of its rarer half. Texts are taken whole, since blocks end where lines do."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    p = word_pairs(docs, r"^-[ \t\r\n]+$")
-    z = joined(p, zipf_table(by_document(tokens(blocks(spark, sf_dir))))).withColumn("gain", F.col("z_joined") - F.least("z_left", "z_right")).filter("z_joined >= 3 and gain >= 0")
-    return z.select("doc_id", "i", F.concat("left", "right").alias("suggested"), F.round(F.least(F.lit(0.98), 0.7 + F.col("gain") / 2), 3).alias("confidence"))
-
-
-@R.query("TXT-14", rf"""WITH {TOKENS}, d AS (SELECT doc_id, lang, pos, regexp_extract(text, '^["“«]?(\p{{Lu}})[ \t]+\p{{Ll}}+', 1) AS "left", regexp_extract(text, '^["“«]?\p{{Lu}}[ \t]+(\p{{Ll}}+)', 1) AS "right" FROM blocks),
-z AS (SELECT d.*, coalesce(a.zipf, 0) AS zj, coalesce(c.zipf, 0) AS zr FROM d LEFT JOIN zipf a ON a.lang = d.lang AND a.lemma = lower("left" || "right") LEFT JOIN zipf c ON c.lang = d.lang AND c.lemma = "right" WHERE "left" <> '')
-SELECT doc_id, pos, "left" || "right" AS suggested, round(least(0.98, 0.7 + (zj - zr) / 2), 3) AS confidence FROM z WHERE zj >= 2 AND zj - zr >= 0.5""")
-def detached_initials(spark, sf_dir):
-    """A block's first capital set apart from its word."""
-    b = blocks(spark, sf_dir)
-    pattern = r"^[\"“«]?(\p{Lu})[ \t]+(\p{Ll}+)"
-    d = b.select("doc_id", "lang", "pos", F.regexp_extract("text", pattern, 1).alias("left"), F.regexp_extract("text", pattern, 2).alias("right")).filter("left <> ''")
-    z = joined(d, zipf_table(by_document(tokens(b)))).withColumn("gain", F.col("z_joined") - F.col("z_right")).filter("z_joined >= 2 and gain >= 0.5")
-    return z.select("doc_id", "pos", F.concat("left", "right").alias("suggested"), F.round(F.least(F.lit(0.98), 0.7 + F.col("gain") / 2), 3).alias("confidence"))
-
-
 @R.query("TXT-18 TXT-19", f"""WITH {TOKENS}, v AS (SELECT doc_id, lang, count(*) AS n, count(*) FILTER (lemma IN ('the', 'and', 'of', 'to', 'was')) AS en, count(*) FILTER (lemma IN ('le', 'la', 'de', 'et', 'des')) AS fr, count(*) FILTER (lemma IN ('der', 'die', 'und', 'das', 'ist')) AS de, count(*) FILTER (lemma IN ('el', 'los', 'que', 'y', 'del')) AS es, sum(length(word)) AS letters FROM tokens GROUP BY ALL)
 SELECT doc_id, CASE WHEN greatest(en, fr, de, es) = 0 THEN NULL WHEN en = greatest(en, fr, de, es) THEN 'en' WHEN fr = greatest(en, fr, de, es) THEN 'fr' WHEN de = greatest(en, fr, de, es) THEN 'de' ELSE 'es' END AS voted,
  letters >= 100 AND greatest(en, fr, de, es) > 0 AND greatest(en, fr, de, es) * 5 >= (en + fr + de + es) * 4 AS sure FROM v""")
