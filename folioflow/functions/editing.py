@@ -61,14 +61,20 @@ def replacement_span(text: str, start: int, stop: int, new: str) -> tuple[int, i
 
 
 def locate(text: str, quote: str) -> tuple[int, int] | None:
-    """Where a quote stands: as it is, else by its words with any blanks and quotes between, whatever the case."""
+    """Where a quote stands: as it is, else whatever the blanks and the case, else by its words with any marks between."""
     at = text.find(quote)
-    if at >= 0:
+    if at >= 0 and quote:
         return at, at + len(quote)
-    words = re.findall(r"\w+", quote)
-    if not words:
+    fold = lambda c: c.lower() if len(c.lower()) == 1 else c
+    places = [i for i, c in enumerate(text) if not c.isspace()]
+    wanted = "".join(fold(c) for c in quote if not c.isspace())
+    if not wanted:
         return None
-    m = re.search(r"[\W_]+".join(map(re.escape, words)), text, re.I)
+    at = "".join(fold(text[i]) for i in places).find(wanted)
+    if at >= 0:
+        return places[at], places[at + len(wanted) - 1] + 1
+    words = re.findall(r"\w+", quote)
+    m = re.search(r"[\W_]+".join(map(re.escape, words)), text, re.I) if words else None
     return m.span() if m else None
 
 

@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..plans.registry import Registry
 from ..session import materialise
 from .blocks import BLOCKS, blocks
-from .lexical import tokens, word_pairs
+from .lexical import word_pairs
 
 R = Registry()
 
@@ -70,7 +70,8 @@ def asked_counts(w: DataFrame, found: DataFrame, terms: dict[str, str], exact: b
     asked = found.select("doc_id", F.explode(F.array(*terms.values())).alias("word")).distinct()
     near = w.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
     word = F.col("word") if exact else F.lower("word")
-    counted = tokens(near).select("doc_id", word.alias("word")).join(asked, ["doc_id", "word"], "left_semi").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = near.select("doc_id", F.explode(T.words(F.col("text"))).alias("word"))
+    counted = words.select("doc_id", word.alias("word")).join(asked, ["doc_id", "word"], "left_semi").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
     for name, column in terms.items():
         found = found.join(counted.withColumnsRenamed({"word": column, "n": name}), ["doc_id", column], "left").withColumn(name, F.coalesce(name, F.lit(0)))
     return found
