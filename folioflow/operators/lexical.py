@@ -50,7 +50,7 @@ def token_counts(spark, sf_dir):
 
 @R.query("TXT-04 UDF-01", f"WITH {TOKENS} SELECT lang, lemma, round(zipf, 6) AS zipf FROM zipf")
 def word_frequency(spark, sf_dir):
-    return zipf_table(by_document(tokens(blocks(spark, sf_dir)))).select("lang", "lemma", F.round("zipf", 6).alias("zipf"))
+    return zipf_table(tokens(blocks(spark, sf_dir)).withColumn("n", F.lit(1))).select("lang", "lemma", F.round("zipf", 6).alias("zipf"))
 
 
 @R.query("TXT-07 TXT-05", f"""WITH {TOKENS}, l AS (SELECT doc_id, lang, lemma, count(*) AS n FROM tokens GROUP BY ALL)
@@ -60,7 +60,7 @@ SELECT doc_id, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS lemmas, round_even(
 FROM l JOIN zipf USING (lang, lemma) GROUP BY doc_id""")
 def lexical_profile(spark, sf_dir):
     """Tokens, distinct lemmas, their ratio, and tokens by frequency band."""
-    n = by_document(tokens(blocks(spark, sf_dir)))
+    n = by_document(tokens(blocks(spark, sf_dir, dealt=True)))
     l = n.join(zipf_table(n), ["lang", "lemma"]).withColumn("band", T.band(F.col("zipf")))  # noqa: E741
     return l.groupBy("doc_id").agg(
         F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("lemmas"), F.bround(F.count(F.lit(1)) / F.sum("n"), 6).alias("ttr"),
@@ -101,7 +101,7 @@ def useful(b: DataFrame, most: int = 50) -> DataFrame:
 
 @R.query("TXT-08 MTH-02 ORD-03", f"WITH {_USEFUL} SELECT doc_id, lemma, n, score, CAST(place AS INTEGER) AS place FROM useful")
 def useful_words(spark, sf_dir):
-    return useful(blocks(spark, sf_dir)).select("doc_id", "lemma", "n", "score", "place")
+    return useful(blocks(spark, sf_dir, dealt=True)).select("doc_id", "lemma", "n", "score", "place")
 
 
 @R.query("TXT-09", f"WITH {TOKENS} SELECT doc_id, lemma, pos, CAST(i AS INTEGER) AS i, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lemma ORDER BY pos, i) AS nth FROM tokens) WHERE nth <= 3")

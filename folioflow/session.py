@@ -20,6 +20,8 @@ def local_session(cores: int | str = "*", app: str = "folioflow", **extra: str)
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
+        # small files still make a task for each core
+        "spark.sql.files.openCostInBytes": "512k",
     } | extra
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in conf.items():
