@@ -45,9 +45,11 @@ def blocks_view(spark, sf_dir):
     return b.select("doc_id", "chapter", "seq", "kind", F.format_string("c%d.%s%d", "chapter", F.substring("kind", 1, 1), "seq").alias("block_id"), "text")
 
 
-@R.query("ING-02", f"WITH {BLOCKS} SELECT r.doc_id, count(*) AS dropped FROM kept r WHERE t = '' GROUP BY r.doc_id")
+@R.query("ING-02", "WITH l AS (SELECT doc_id, unnest(string_split(replace(text, '. ', '.' || chr(10) || ' ' || chr(9) || chr(10)), chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS dropped FROM l WHERE trim(regexp_replace(line, '[ \t\n\x0B\f\r]+', ' ', 'g')) = '' GROUP BY doc_id")
 def empty_block_warnings(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    """Lines dropped because nothing is in them, over texts with a blank line behind each sentence."""
+    spaced = F.replace("text", F.lit(". "), F.lit(".\n \t\n"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(spaced, "\n")).alias("line"))
     return lines.filter(T.normal_space(F.col("line")) == "").groupBy("doc_id").agg(F.count(F.lit(1)).alias("dropped"))
 
 
@@ -173,7 +175,9 @@ def sentence_split(spark, sf_dir):
     return s.groupBy("doc_id", "pos").agg(F.count(F.lit(1)).alias("sentences"), F.max(F.length("sentence")).cast("long").alias("longest"))
 
 
-@R.query("TXT-02 ARR-01 ARR-03", None)
+@R.query("TXT-02 ARR-01 ARR-03", f"""WITH {BLOCKS}, s AS (SELECT doc_id, pos, unnest(string_split_regex(regexp_replace(text, '([.!?…]) +', '\\1' || chr(1), 'g'), chr(1))) AS sentence, generate_subscripts(string_split_regex(regexp_replace(text, '([.!?…]) +', '\\1' || chr(1), 'g'), chr(1)), 1) AS id FROM blocks),
+o AS (SELECT *, coalesce(sum(length(sentence) + 1) OVER (PARTITION BY doc_id, pos ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM s)
+SELECT doc_id, pos, id::INT AS id, start, (start + length(sentence))::INT AS stop, sentence FROM o WHERE sentence <> ''""")
 def sentence_offsets(spark, sf_dir):
     """Sentences as spans, found from a running offset inside each block: one fold over its pieces."""
     b = blocks(spark, sf_dir).select("doc_id", "pos", "text", F.split("text", "(?<=[.!?…]) +").alias("s"))

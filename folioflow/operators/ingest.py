@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import editing as E
 from ..plans.registry import Registry
 from ..session import table
+from .blocks import BLOCKS
 from ..sources.html import html_blocks
 
 R = Registry()
@@ -28,7 +29,7 @@ def turn_diffs(spark, sf_dir):
     return u.join(v, ["conv_id", "turn"]).select("conv_id", "turn", F.size(diff("a", "b")).alias("pieces"), F.round(ratio("a", "b"), 6).alias("changed"))
 
 
-@R.query("STR-18 STR-06 STR-08 STR-11")
+@R.query("STR-18")
 def clause_spans(spark, sf_dir):
     spans = E.column(lambda t: [{"start": a, "stop": z} for a, z in E.clauses(t)], "array<struct<start:int,stop:int>>")
     return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(spans("text")).alias("n", "s")).select("item_id", "n", "s.*")
@@ -49,13 +50,15 @@ def fitted_blocks(spark, sf_dir, limit=1500):
     return c.select("conv_id", "turn", F.posexplode_outer(parts("text")).alias("part", "s")).select("conv_id", "turn", "part", "s.offset", F.length("s.piece").alias("chars"))
 
 
-@R.query("JSN-02 HSH-02 HSH-04")
+@R.query("HSH-04")
 def natural_keys(spark, sf_dir):
     key = E.column(lambda a, b: E.natural_uuid(a, b), "string")
     return table(spark, sf_dir, "nation").select("n_nationkey", key("n_name", F.col("n_regionkey").cast("string")).alias("key"))
 
 
-@R.query("MUT-07 JOIN-16")
+@R.query("MUT-07", f"""WITH {BLOCKS}, s AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id, text ORDER BY pos) AS nth FROM blocks WHERE kind = 'paragraph'), f AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id, text ORDER BY pos) AS nth FROM blocks WHERE length(text) >= 10),
+m AS (SELECT coalesce(s.doc_id, f.doc_id) AS doc_id, s.text IS NOT NULL AS was, f.text IS NOT NULL AS now FROM s FULL JOIN f ON s.doc_id = f.doc_id AND s.text = f.text AND s.nth = f.nth),
+c AS (SELECT doc_id, count(*) FILTER (was AND now) AS kept, count(*) FILTER (NOT now) AS lost, count(*) FILTER (NOT was) AS new FROM m GROUP BY doc_id) SELECT *, lost > 0.02 * (kept + lost) OR new > 0.05 * (kept + new) AS refused FROM c""")
 def recut_matches(spark, sf_dir):
     """Stored blocks matched to a fresh cut by text: the n-th occurrence of a text to its n-th; lost and new ones show as nulls."""
     from pyspark.sql import Window as W

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.registry import Registry
 from ..session import table
+from ..sources.files import unanswered
 
 R = Registry()
 
@@ -43,10 +44,11 @@ def fan_out_safe(spark, sf_dir):
     return out.select("c_custkey", F.coalesce("editions", F.lit(0)).alias("editions"), F.coalesce("spans", F.lit(0)).alias("spans"))
 
 
-@R.query("JOIN-06 SRC-10", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@R.query("JOIN-06 SRC-10", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def anti_missing(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey")
+    """Work that the log of answers doesn't hold yet: accounts without an order in progress."""
+    work, log = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
+    return unanswered(work, log.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @R.query("JOIN-07", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
@@ -155,7 +157,7 @@ def work_runs(spark, sf_dir):
     return keys.join(runs, F.col("key") == F.col("c_nationkey")).groupBy("edition").agg(F.sum("n").alias("runs"))
 
 
-@R.query("FLT-09 FLT-10 FLT-15 FLT-16", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'still running' WHEN NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) THEN 'no content'
+@R.query("FLT-09 FLT-10", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'still running' WHEN NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) THEN 'no content'
   WHEN c_acctbal < 0 THEN 'owner over budget' WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') THEN 'open review' END AS reason FROM orders JOIN customer ON o_custkey = c_custkey""")
 def gate_reason(spark, sf_dir):
     """The first reason, in order, why an edition cannot be published; null if there is none."""
@@ -296,7 +298,9 @@ def passage_provenance(spark, sf_dir):
     return l.join(n, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(F.when(F.col("l_discount") > 0, F.col("l_suppkey")), F.when(F.col("runs") == 1, F.col("only_run"))).cast("double").alias("run"))
 
 
-@R.query("ARR-05 WIN-06", None)
+@R.query("ARR-05 WIN-06", """WITH o AS (SELECT l_orderkey, list({a: l_quantity::INT, z: (l_quantity + 8)::INT, stop: 0, kept: []::STRUCT(a INT, z INT)[]} ORDER BY l_quantity) AS s FROM lineitem GROUP BY 1),
+k AS (SELECT l_orderkey, list_reduce(list_prepend({a: 0, z: 0, stop: -1, kept: []::STRUCT(a INT, z INT)[]}, s), lambda k, x: {a: x.a, z: x.z, stop: CASE WHEN x.a >= k.stop THEN x.z ELSE k.stop END, kept: CASE WHEN x.a >= k.stop THEN list_append(k.kept, {a: x.a, z: x.z}) ELSE k.kept END}).kept AS kept FROM o)
+SELECT l_orderkey, x.a AS a, x.z AS z FROM (SELECT l_orderkey, unnest(kept) AS x FROM k)""")
 def span_select(spark, sf_dir):
     """Spans kept in order when they start at or after the end of the last kept one: a fold over each block's sorted spans."""
     l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_quantity").cast("int").alias("a"), (F.col("l_quantity") + 8).cast("int").alias("z")))).alias("s"))  # noqa: E741

@@ -89,7 +89,9 @@ def streamed_latest(spark, sf_dir):
 STEPS = {"queued": "ingest", "ingest": "split", "split": "lexical", "lexical": "review", "review": "published"}
 
 
-@R.query("STRM-05", None)
+@R.query("STRM-05", """WITH t(state, nxt) AS (VALUES ('queued', 'ingest'), ('ingest', 'split'), ('split', 'lexical'), ('lexical', 'review'), ('review', 'published')), s0 AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'review' ELSE 'queued' END AS state FROM documents),
+s1 AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN s0.state ELSE coalesce(nxt, s0.state) END AS state FROM s0 LEFT JOIN t ON t.state = s0.state), s2 AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN s1.state ELSE coalesce(nxt, s1.state) END AS state FROM s1 LEFT JOIN t ON t.state = s1.state)
+SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN s2.state ELSE coalesce(nxt, s2.state) END AS state FROM s2 LEFT JOIN t ON t.state = s2.state""")
 def stepped_states(spark, sf_dir, ticks=3):
     """Editions move one step a tick through a table of transitions; failed ones wait. The loop is over ticks, not rows."""
     moves = spark.createDataFrame(list(STEPS.items()), "state string, then string")
