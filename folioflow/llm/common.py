@@ -4,47 +4,20 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import BATCH_BYTES, bound_batches, materialise, shared_folder, table
+
+__all__ = ["BATCH_BYTES", "bound_batches", "materialise", "shared_folder", "table"]
+
 #: Characters between words, as every contract here states them.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: The same as a regular expression's set, without brackets.
 BLANK_SET = r"\x20\x09-\x0D"
-#: Bytes of an Arrow batch: whole texts travel in them, and are held on both sides of the pipe.
-BATCH_BYTES = 4 << 20
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-_OWN: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; where it names none, a temporary one for a session on one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _OWN:
-        _OWN[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='folioflow-')}"
-    return _OWN[context.applicationId]
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """From now on Arrow batches of this session hold BATCH_BYTES at most, or one row; a bound that it has already stays. No result depends on where batches end."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -58,14 +31,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/folioflow/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]) -> DataFrame:
     """mapInArrow with per-task set-up, on batches bounded in bytes: make() runs once in each task, and what it held goes back to the machine after it."""
     bound_batches(df.sparkSession)
