@@ -126,8 +126,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     keep = [c for c in keep or [] if c not in ("doc_id", "source")]
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), digest.alias("digest"), slot_of(F.col("doc_id"), digest, seed, slots).alias("slot"), *keep)
-    chosen = plan(base.select("source", "slot", "size"), weights, share, max_epochs, slots)
-    # one row a source: adaptive execution broadcasts it when its measured size allows, or splits a hot source's partition
+    # one row a source, written so that the planner knows its size: it is broadcast where that allows, and no text is shuffled; else both sides are
+    chosen = common.materialise(plan(base.select("source", "slot", "size"), weights, share, max_epochs, slots), "mixing-plan")
     joined = base.alias("d").join(chosen.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
     joined = joined.select("d.*", F.col("p.source_size").cast("long").alias("source_size"), "p.target", "p.whole", "p.edge_slot", "p.part")
     outside = joined.filter(F.col("slot") != F.col("edge_slot")).withColumn("more", F.when(F.col("slot") < F.col("edge_slot"), F.col("size")).otherwise(F.lit(0).cast("long")))
