@@ -36,8 +36,8 @@ def is_label(text: Column) -> Column:
     return (F.length(text) <= LABEL_CHARS) & numeral
 
 
-def cut_chapters(blocks: DataFrame, by_size: bool = True) -> DataFrame:
-    """blocks(book, spine, seq, kind, level, text, ...) -> plus segment and part (inside a document), chapter (inside a book, from 1).
+def cut_chapters(blocks: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """blocks(book, spine, seq, kind, level, text, ...) -> plus segment and part (inside a document), chapter (inside a book, from 1), size (of the text).
 
     A heading starts a chapter when it is its document's first or prose stands before it since the last heading; one with nothing after it
     stays with the chapter before. Texts that come three times in a document are no headings (they name speakers). Of the starts,
@@ -45,16 +45,26 @@ def cut_chapters(blocks: DataFrame, by_size: bool = True) -> DataFrame:
     whole, those up to LONG need two starts. A document that opens in prose after one longer than LONG continues its last chapter.
     Segments over UNSPLIT are cut between blocks at about TARGET.
 
-    Defined results: null texts are empty; blocks without text start and open nothing; equal (book, spine, seq) are taken in any order.
+    Rows are dealt out by book once, and every window and join works on that. carry: the columns to keep, all by default; what is decided on
+    texts is decided before, so without text none is shuffled.
+
+    Defined results: null texts are empty; blocks without text start and open nothing; equal (book, spine, seq) are taken in any order; documents
+    without a book or a place in it are cut at headings, but not by size.
     """
-    doc, text = W.partitionBy("book", "spine"), F.coalesce("text", F.lit(""))
-    order = doc.orderBy("seq")
-    upto, before = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, -1)
+    keep = blocks.columns if carry is None else list(dict.fromkeys(["book", "spine", "seq", "kind", *carry]))
+    text = F.coalesce("text", F.lit(""))
     label = (F.col("kind") == "paragraph") & is_label(text)
     heading = (F.col("kind") == "heading") & (F.coalesce("level", F.lit(1)) <= DEEPEST_HEADING) & (text != "")
-    b = blocks.withColumn("label", label).withColumn("candidate", label | heading).withColumn("depth", F.when(F.col("label"), LABEL_LEVEL).otherwise(F.coalesce("level", F.lit(1))))
-    times = F.sum(F.col("candidate").cast("int")).over(W.partitionBy("book", "spine", F.lower(text)))
-    b = b.withColumn("opener", F.col("candidate") & (times < REPEATED)).withColumn("said", (text != "") & ~F.col("kind").isin(*TEXTLESS))
+    facts = blocks.select(
+        *[c for c in keep if c != "size"], F.length(text).alias("size"), label.alias("label"), (label | heading).alias("candidate"), F.when(label | heading, F.lower(text)).alias("same"),
+        F.when(label, LABEL_LEVEL).otherwise(F.coalesce("level", F.lit(1))).alias("depth"), ((text != "") & ~F.col("kind").isin(*TEXTLESS)).alias("said"),
+    )
+    b = facts.repartition("book")
+    doc = W.partitionBy("book", "spine")
+    order = doc.orderBy("seq")
+    upto, before = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, -1)
+    times = F.sum(F.col("candidate").cast("int")).over(W.partitionBy("book", "spine", "same"))
+    b = b.withColumn("opener", F.col("candidate") & (times < REPEATED))
     prose = F.col("said") & ~F.col("opener")
     last_said = F.last(F.when(F.col("said"), F.col("opener")), True).over(before)
     start = F.col("opener") & ~F.coalesce(last_said, F.lit(False)) & (F.max(F.when(prose, F.col("seq"))).over(doc) > F.col("seq"))
@@ -64,40 +74,37 @@ def cut_chapters(blocks: DataFrame, by_size: bool = True) -> DataFrame:
     b = b.withColumn("start", F.col("start") & (F.col("depth") <= -F.array_max(tally)["k"]))
     first_opener, first_prose = F.min(F.when(F.col("opener"), F.col("seq"))).over(doc), F.min(F.when(prose, F.col("seq"))).over(doc)
     b = b.withColumn("preamble", F.coalesce(first_prose < first_opener, F.lit(False)).cast("int"))
-    b = b.withColumn("starts", F.sum(F.col("start").cast("int")).over(doc)).withColumn("length", F.sum(F.length(text)).over(doc))
+    b = b.withColumn("starts", F.sum(F.col("start").cast("int")).over(doc)).withColumn("length", F.sum("size").over(doc))
     cut = (F.col("length") >= SHORT) & (F.col("starts") + F.col("preamble") >= 2) & ((F.col("length") > LONG) | (F.col("starts") >= 2))
     running = F.sum(F.col("start").cast("int")).over(upto) - 1 + F.col("preamble")
-    b = b.withColumn("segment", F.when(cut, F.greatest(running, F.lit(0))).otherwise(0).cast("int"))
-    kept = b.select(*blocks.columns, "segment", "said", "label", "length")
-    kept = _parts(kept, text) if by_size else kept.withColumn("part", F.lit(0))
-    # a row for each part of each document; the documents' own facts come with it
-    opens = F.min_by(F.when(F.col("said"), (F.col("kind") != "heading") & ~F.col("label")), F.when(F.col("said"), F.col("seq")))
-    pieces = kept.groupBy("book", "spine", "segment", "part").agg(F.max("length").alias("length"), opens.alias("opens"))
-    shelf = W.partitionBy("book").orderBy("spine", "segment", "part")
-    first = (F.col("segment") == 0) & (F.col("part") == 0)
-    continues = first & F.coalesce(F.col("opens"), F.lit(False)) & (F.coalesce(F.lag("length").over(shelf), F.lit(0)) > LONG)
-    numbered = pieces.withColumn("new", F.when(continues, 0).otherwise(1)).withColumn("chapter", F.sum("new").over(shelf))
-    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("book", "spine", "segment", "part")]
-    joined = kept.alias("b").join(numbered.select("book", "spine", "segment", "part", "chapter").alias("n"), same[0] & same[1] & same[2] & same[3])
-    return joined.select(*[F.col(f"b.`{c}`") for c in blocks.columns], "b.segment", "b.part", "n.chapter")
-
-
-def _parts(b: DataFrame, text: Column) -> DataFrame:
+    opens = F.min_by(F.when(F.col("said"), (F.col("kind") != "heading") & ~F.col("label")), F.when(F.col("said"), F.col("seq"))).over(doc)
+    b = b.withColumn("segment", F.when(cut, F.greatest(running, F.lit(0))).otherwise(0).cast("int")).withColumn("opens", F.coalesce(opens, F.lit(False)))
+    b = _parts(b.select(*[c for c in keep if c != "size"], "size", "segment", "length", "opens"))
+    # a new chapter at each part's first block, but for documents that go on with the one before
+    shelf = W.partitionBy("book").orderBy("spine", "seq")
+    was = F.lag(F.struct("spine", "segment", "part", "length")).over(shelf)
+    b = b.withColumn("was", was)
+    other = F.col("was").isNull() | ~F.col("was.spine").eqNullSafe(F.col("spine"))
+    continues = other & F.col("opens") & (F.coalesce("was.length", F.lit(0)) > LONG)
+    new = (other & ~continues) | (~other & ((F.col("was.segment") != F.col("segment")) | (F.col("was.part") != F.col("part"))))
+    chapter = F.sum(new.cast("int")).over(shelf.rowsBetween(W.unboundedPreceding, 0))
+    return b.select(*[F.col(f"`{c}`") for c in keep if c != "size"], "size", "segment", "part", chapter.alias("chapter"))
+
+
+def _parts(b: DataFrame) -> DataFrame:
     """plus part: long segments cut between blocks, as soon as the next block would bring a part over TARGET. A fold over the lengths of one segment's blocks finds the cuts."""
-    size = F.sum(F.length(text)).over(W.partitionBy("book", "spine", "segment"))
-    sized = b.withColumn("size", size)
-    lengths = F.array_sort(F.collect_list(F.struct("seq", F.length(text).alias("n"))))
+    whole = b.withColumn("whole", F.sum("size").over(W.partitionBy("book", "spine", "segment")))
+    lengths = F.array_sort(F.collect_list(F.struct("seq", "size")))
     start = F.struct(F.lit(0).alias("held"), F.array().cast("array<bigint>").alias("cuts"))
 
     def step(a, x):
-        over = (a["held"] > 0) & (a["held"] + x["n"] > TARGET)
-        return F.struct(F.when(over, x["n"]).otherwise(a["held"] + x["n"]).alias("held"), F.when(over, F.array_append(a["cuts"], x["seq"].cast("long"))).otherwise(a["cuts"]).alias("cuts"))
+        over = (a["held"] > 0) & (a["held"] + x["size"] > TARGET)
+        return F.struct(F.when(over, x["size"]).otherwise(a["held"] + x["size"]).alias("held"), F.when(over, F.array_append(a["cuts"], x["seq"].cast("long"))).otherwise(a["cuts"]).alias("cuts"))
 
-    cuts = sized.filter(F.col("size") > UNSPLIT).groupBy("book", "spine", "segment").agg(F.aggregate(lengths, start, step)["cuts"].alias("cuts"))
-    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("book", "spine", "segment")]
-    joined = sized.alias("s").join(cuts.alias("c"), same[0] & same[1] & same[2], "left")
-    part = F.coalesce(F.size(F.filter("c.cuts", lambda x: x <= F.col("s.seq"))), F.lit(0))
-    return joined.select("s.*", F.greatest(part, F.lit(0)).alias("part")).drop("size")
+    cuts = whole.filter(F.col("whole") > UNSPLIT).groupBy("book", "spine", "segment").agg(F.aggregate(lengths, start, step)["cuts"].alias("cuts"))
+    joined = whole.join(cuts, ["book", "spine", "segment"], "left")
+    part = F.coalesce(F.size(F.filter("cuts", lambda x: x <= F.col("seq"))), F.lit(0))
+    return joined.withColumn("part", F.greatest(part, F.lit(0))).drop("whole", "cuts")
 
 
 def fold_bare(chapters: DataFrame) -> DataFrame:
@@ -145,9 +152,9 @@ SELECT book, chapter::BIGINT AS chapter, blocks, chars::BIGINT AS chars, first_d
 @R.query("ING-13 ING-14 ING-15 ING-16", _SQL)
 def book_chapters(spark, sf_dir):
     """Chapters of books whose documents are the given ones: where they start and end, and what they are folded into."""
-    cut = cut_chapters(shelf(spark, sf_dir))
+    cut = cut_chapters(shelf(spark, sf_dir), carry=[])
     c = cut.groupBy("book", "chapter").agg(
-        F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).alias("chars"), F.min("spine").alias("first_document"), F.max("spine").alias("last_document"),
+        F.count(F.lit(1)).alias("blocks"), F.sum("size").alias("chars"), F.min("spine").alias("first_document"), F.max("spine").alias("last_document"),
         F.bool_and(F.col("kind").isin("heading", *TEXTLESS)).alias("bare"),
     )
     return fold_bare(c).select("book", "chapter", "blocks", "chars", "first_document", "last_document", "bare", "folded")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import editing as E
 from folioflow.functions import money, ordinal, time
-from folioflow.operators import blocks, lexical, vectors
+from folioflow.operators import blocks, defects, lexical, vectors
 from folioflow.sources import books, files
 from folioflow.sources.html import html_blocks, read_blocks, resolve_image
 
@@ -156,10 +156,11 @@ def test_split_words_and_initials(spark, monkeypatch):
     n = len(filler)
     texts = [*filler, "together " * 30, "we came to gether again", "T ogether they sang", "H e said", "together"]
     b = block_frame(spark, texts)
-    monkeypatch.setattr(lexical, "blocks", lambda *_: b)
-    found = {(r["pos"], r["suggested"]) for r in lexical.split_words(spark, "").collect()}
+    monkeypatch.setattr(defects, "blocks", lambda *_: b)
+    monkeypatch.setattr(defects, "worn", lambda given: given)
+    found = {(r["pos"], r["suggested"]) for r in defects.split_words(spark, "").collect()}
     assert found == {(n + 1, "together")}
-    first = {(r["pos"], r["suggested"]) for r in lexical.detached_initials(spark, "").collect()}
+    first = {(r["pos"], r["suggested"]) for r in defects.detached_initials(spark, "").collect()}
     assert first == {(n + 2, "Together")}
 
 
@@ -251,10 +252,10 @@ def test_attested_split_words_and_broken_hyphens(spark, monkeypatch):
     n = len(filler)
     texts = [*filler, "together " * 30, "we came to gether again", "they went so on", "soon " * 30, "bro-ken", "a toge- ther b", "toge-\nther", "x1toge- ther", "toge- wabc"]
     b = block_frame(spark, texts).withColumn("doc_id", (F.col("pos") == n + 3).cast("long"))
-    monkeypatch.setattr(lexical, "blocks", lambda *_: b)
-    monkeypatch.setattr(lexical, "table", lambda *_: b.select(F.col("pos").alias("doc_id"), "lang", "text"))
-    found = {(r["pos"], r["suggested"]): r["confidence"] for r in lexical.attested_split_words(spark, "").collect()}
+    monkeypatch.setattr(defects, "blocks", lambda *_: b)
+    monkeypatch.setattr(defects, "worn", lambda given: given)
+    found = {(r["pos"], r["suggested"]): r["confidence"] for r in defects.attested_split_words(spark, "").collect()}
     assert set(found) == {(n + 1, "together")}  # "soon" stands in another edition only
-    loose = {(r["pos"], r["suggested"]): r["confidence"] for r in lexical.split_words(spark, "").collect()}
+    loose = {(r["pos"], r["suggested"]): r["confidence"] for r in defects.split_words(spark, "").collect()}
     assert (n + 2, "soon") in loose and found[n + 1, "together"] == pytest.approx(loose[n + 1, "together"] + 0.08)
-    assert {(r["doc_id"], r["suggested"]) for r in lexical.broken_hyphens(spark, "").collect()} == {(n + 5, "together"), (n + 6, "together")}
+    assert {(r["pos"], r["suggested"]) for r in defects.broken_hyphens(spark, "").collect()} == {(n + 5, "together"), (n + 6, "together")}
