@@ -24,7 +24,8 @@ LABEL_CHARS, REPEATED, DEEPEST_HEADING, LABEL_LEVEL = 120, 3, 5, 7
 
 _ROMAN = "m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 _NUMERAL = f"([0-9]{{1,3}}|{_ROMAN}|{_ROMAN.upper().replace('{0,3}', '{0,3}')})"
-#: A numeral alone, with a label word or marks around it; and a label word with a numeral, followed by a title. Group 1 is the numeral, which may come out empty.
+# What a label looks like. A numeral alone, with a label word or marks around it; and a label word with a numeral, followed by a title. Group 1 is the
+# numeral, which may come out empty.
 ALONE = rf"^[-–—(\[]*\s*(?:(?i:{LABEL_WORDS})\s+)?{_NUMERAL}\s*[-–—.)\]:]*$"
 TITLED = rf"^(?i:{LABEL_WORDS})\s+{_NUMERAL}\s*[-–—.:]\s*\S.*$"
 TEXTLESS = ("image", "separator")

@@ -22,6 +22,7 @@ MATTER = (
 ).split(",")
 CLOSINGS = "fin,fine,the end,ende,finis,конец,кінець".split(",")
 
+# How a title is read.
 _W = r"[\p{L}\p{N}_]"
 _N = r"[^\p{L}\p{N}_]"
 _LABELLED = rf"^{_N}*({'|'.join(LABELS)}|[0-9]+({_N}|$))"
