@@ -259,3 +259,47 @@ def test_attested_split_words_and_broken_hyphens(spark, monkeypatch):
     loose = {(r["pos"], r["suggested"]): r["confidence"] for r in defects.split_words(spark, "").collect()}
     assert (n + 2, "soon") in loose and found[n + 1, "together"] == pytest.approx(loose[n + 1, "together"] + 0.08)
     assert {(r["pos"], r["suggested"]) for r in defects.broken_hyphens(spark, "").collect()} == {(n + 5, "together"), (n + 6, "together")}
+
+
+def test_meetings_of_parts_ties_copies_and_nulls(spark, tmp_path, monkeypatch):
+    """Chapters over more than one part equal all pairs in one; equal cosines go to the smaller number; a null vector has no cosine; copies of a
+    row are no competitor of it."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 4)).round(1)
+    v[10], v[11:40:4], v[20] = 0, v[3], v[7]
+    rows = [(i, None if i == 31 else v[i].tolist(), i % 3 if i < 59 else 9) for i in range(60)] + [(6, v[8].tolist(), 0)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(vectors, "MEETING", 7)
+    f32 = lambda x: np.float32(x).astype(float)
+    pairs = {}
+    for i, a, p in rows:
+        for j, b, q in rows:
+            if i % 2 == 0 and j % 2 == 1 and p == q:
+                c = None
+                if a is not None and b is not None:
+                    x, y = f32(a), f32(b)
+                    n = sum(x * x) * sum(y * y)
+                    c = float(np.clip(sum(x * y) / np.sqrt(n), -1, 1)) if n else 0.0
+                pairs.setdefault((p, i // 2, j // 2), []).append(c)
+    flat = [(*k, c) for k, cs in pairs.items() for c in cs]
+    got = sorted((tuple(r) for r in vectors.cosine_pairs(spark, str(tmp_path)).select("chapter", "s", "t", "cos").collect()), key=str)
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(((*k[:3], None if k[3] is None else round(k[3], 6)) for k in flat), key=str)]
+    assert all(r[3] is None and None in pairs[r[:3]] or min(abs(r[3] - c) for c in pairs[r[:3]] if c is not None) < 1e-6 for r in got)
+    known = [(p, s, t, -9 if c is None else c) for p, s, t, c in flat]
+    near, back = {}, {}
+    for p, s, t, c in known:
+        near[p, s] = min(near.get((p, s), (9, 0)), (-c, t))
+        back[p, t] = min(back.get((p, t), (9, 0)), (-c, s))
+    mutual = {p: sum(back[p, t][1] == s for (q, s), (_, t) in near.items() if p == q) for p in (0, 1, 2)}
+    assert {r["chapter"]: r["matched"] for r in vectors.mutual_top1(spark, str(tmp_path)).collect()} == mutual
+    want = []
+    for p, s, t, c in known:
+        other = max([d for q, x, y, d in known if q == p and d > -9 and ((x == s) != (y == t))], default=1.0)
+        want.append((p, s, t, None if c == -9 else c - other))
+    margins = sorted((tuple(r) for r in vectors.reciprocal_margin(spark, str(tmp_path)).collect()), key=str)
+    key = lambda r: (*r[:3], r[3] is None, r[3] or 0)
+    for a, b in zip(sorted(margins, key=key), sorted(want, key=key), strict=True):
+        assert a[:3] == b[:3] and (a[3] is None) == (b[3] is None) and abs((a[3] or 0) - (b[3] or 0)) < 2e-6, (a, b)
+    settled = {(p, s) for p, s, t, c in flat if s == t}
+    want = [(p, s, t, "settled") for p, s, t, c in flat if s == t] + [(p, s, t, "found") for p, s, t, c in known if c > 0.5 and (p, s) not in settled and (p, t) not in settled]
+    assert sorted(tuple(r) for r in vectors.settled_groups(spark, str(tmp_path)).collect()) == sorted(want)
