@@ -318,7 +318,9 @@ def union_timeline(spark, sf_dir):
 
 @R.query("DT-03 STR-16", f"WITH {LEDGER}, d AS (SELECT account, CAST(epoch(max(ts)) - epoch(min(ts)) AS BIGINT) AS s, sum(cost) AS c FROM ledger GROUP BY account) SELECT account, CASE WHEN s >= 3600 THEN format('{{}}h {{:02d}}m', s // 3600, s % 3600 // 60) ELSE format('{{}}m {{:02d}}s', s // 60, s % 60) END AS lasted, '$' || format('{{:,.2f}}', CAST(round(c, 2) AS DOUBLE)) AS spent FROM d")
 def durations(spark, sf_dir):
-    g = ledger(spark, sf_dir).groupBy("account").agg((F.floor(F.unix_micros(F.max("ts").cast("timestamp")) / 1000000 - F.unix_micros(F.min("ts").cast("timestamp")) / 1000000)).alias("s"), F.sum("cost").alias("c"))
+    """Time from an account's first call to its last, to the nearest second, and what it spent."""
+    at = lambda ts: F.unix_micros(ts.cast("timestamp")) / 1000000
+    g = ledger(spark, sf_dir).groupBy("account").agg(F.rint(at(F.max("ts")) - at(F.min("ts"))).cast("long").alias("s"), F.sum("cost").alias("c"))
     return g.select("account", time.duration(F.col("s")).alias("lasted"), money.format_usd(F.round("c", 2)).alias("spent"))
 
 

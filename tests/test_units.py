@@ -303,3 +303,11 @@ def test_meetings_of_parts_ties_copies_and_nulls(spark, tmp_path, monkeypatch):
     settled = {(p, s) for p, s, t, c in flat if s == t}
     want = [(p, s, t, "settled") for p, s, t, c in flat if s == t] + [(p, s, t, "found") for p, s, t, c in known if c > 0.5 and (p, s) not in settled and (p, t) not in settled]
     assert sorted(tuple(r) for r in vectors.settled_groups(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_durations_round_to_the_nearest_second(spark, tmp_path):
+    from folioflow.operators import ledger
+
+    at = "timestamp_ntz'2024-01-01 00:00:00.{0}'"
+    spark.sql(f"select 1L event_id, {at.format('000001')} ts, 1L user_id, 'view' event_type, 1.0D value, '{{}}' props union all select 2L, timestamp_ntz'2024-01-01 00:00:59.9', 1L, 'view', 2.0D, '{{}}'").write.parquet(f"{tmp_path}/events.parquet")
+    assert ledger.durations(spark, str(tmp_path)).first()["lasted"] == "1m 00s"
