@@ -311,3 +311,20 @@ def test_durations_round_to_the_nearest_second(spark, tmp_path):
     at = "timestamp_ntz'2024-01-01 00:00:00.{0}'"
     spark.sql(f"select 1L event_id, {at.format('000001')} ts, 1L user_id, 'view' event_type, 1.0D value, '{{}}' props union all select 2L, timestamp_ntz'2024-01-01 00:00:59.9', 1L, 'view', 2.0D, '{{}}'").write.parquet(f"{tmp_path}/events.parquet")
     assert ledger.durations(spark, str(tmp_path)).first()["lasted"] == "1m 00s"
+
+
+def test_long_alignment_keeps_no_cells(monkeypatch):
+    """An alignment that makes its decisions anew between kept rows equals one that keeps all, in memory far below that of its cells."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    s = rng.normal(size=(1500, 8))
+    t = np.repeat(s, 2, axis=0)[::2] + rng.normal(size=(1500, 8)) * 0.3
+    want = vectors.monotonic(s, t, vectors.SHAPES, 0.3, size_cost=0.08)
+    monkeypatch.setattr(vectors, "CELLS", 10_000, raising=False)
+    tracemalloc.start()
+    got = vectors.monotonic(s, t, vectors.SHAPES, 0.3, size_cost=0.08)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want and len(got) > 1000
+    assert peak < 1500 * 1500 * 8  # one table of that many doubles; the old form held seven
