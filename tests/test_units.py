@@ -2,6 +2,7 @@
 
 import io
 import itertools
+import re
 import zipfile
 
 import numpy as np
@@ -328,3 +329,17 @@ def test_long_alignment_keeps_no_cells(monkeypatch):
     tracemalloc.stop()
     assert got == want and len(got) > 1000
     assert peak < 1500 * 1500 * 8  # one table of that many doubles; the old form held seven
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_neither_sorted_nor_shuffled_one_by_one(spark, data):
+    """Sets, structs and runs of words made a row for each word travel or be sorted; texts are dealt by document instead."""
+    for f in (lexical.useful_words, lexical.attested_vocabulary, lexical.citation_anchors):
+        assert "collect_set" not in plan_of(f(spark, data))
+    assert not re.search(r"min\(named_struct|partial_min\(struct", plan_of(lexical.proper_names(spark, data)))
+    assert not re.search(r"hashpartitioning\(doc_id#\d+L, lemma", plan_of(lexical.first_occurrences(spark, data)))
+    assert not re.search(r"hashpartitioning\(doc_id#\d+L, lemma|hashpartitioning\(lang#\d+, lemma#\d+, \d+\).*\n.*doc_id", plan_of(lexical.lexical_profile(spark, data)))
+    assert "Exchange" not in plan_of(blocks.repeated_phrases(spark, data))
