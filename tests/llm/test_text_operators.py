@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -629,6 +630,26 @@ def test_search_empty(docs, empty):
     assert search.search(empty, asked.filter("doc_id = 1")).count() == 0
 
 
+@pytest.mark.parametrize("group", [1, 16])
+def test_search_moves_no_copies(docs, group):
+    """Shards and queries meet where they are read: no exchange or broadcast holds either, however many groups of queries there are."""
+    found = search.search(docs, docs.selectExpr("doc_id as query_id", "text"), group=group)
+    text = found._jdf.queryExecution().explainString(docs.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = re.findall(r"\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*?)\]", text)
+    assert moved and not any(re.search(r"\b(data|terms|queries)#", columns) for columns in moved)
+
+
+def test_query_groups_hold_every_query_within_bounds(spark):
+    import pickle
+
+    blocks = [[(10 * b + i, 0, np.arange(n, dtype=np.uint64), np.ones(n)) for i in range(2)] for b, n in enumerate((5, 70_000, 3, 40_000, 90_000, 1))]
+    frame = spark.createDataFrame([(b, bytearray(pickle.dumps(x))) for b, x in enumerate(blocks)], "qblock long, queries binary")
+    rows = search.query_groups(frame, 1, 1).collect()
+    got = [[(i, len(t)) for i, _, t, _ in pickle.loads(r["queries"])] for r in rows]
+    assert sorted(x for g in got for x in g) == sorted((i, len(t)) for x in blocks for i, _, t, _ in x) and len({r["column"] for r in rows}) == len(rows)
+    assert len(got) > 1 and all(sum(n for _, n in g) <= search.QUERY_TERMS // 4 or len(g) == 2 for g in got)
+
+
 def plain_count(pieces, word):
     """Pieces of the best segmentation, by a table over all prefixes."""
     longest = max(map(len, pieces))
