@@ -2,10 +2,13 @@
 
 import io
 import itertools
+import os
 import re
 import zipfile
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -306,6 +309,52 @@ def test_meetings_of_parts_ties_copies_and_nulls(spark, tmp_path, monkeypatch):
     assert sorted(tuple(r) for r in vectors.settled_groups(spark, str(tmp_path)).collect()) == sorted(want)
 
 
+def test_parts_are_shuffled_a_few_times_only(spark):
+    """A part is copied once for each part of the other side; these are about as many as a task's memory asks for."""
+    n = 9000
+    e = spark.range(2 * n).selectExpr("cast(id % 2 as int) as side", "cast(7 as int) as chapter", "cast(floor(id / 2) as bigint) as seq", "array(cast(id as float), 1f) as v")
+
+    def sizes(left, right):
+        yield {"s": np.array([len(left.seq)]), "t": np.array([len(right.seq)])}
+
+    got = [tuple(r) for r in vectors.met(e, sizes, "s long, t long").collect()]
+    assert len(got) == 9 and sum(s for _, s, _ in got) == sum(t for *_, t in got) == 3 * n
+
+
+def struct_side(rng, n, missing=()):
+    v = rng.normal(size=(n, 64)).astype(np.float32)
+    rows = [{"seq": int(i), "v": None if i in missing else x} for i, x in enumerate(v)]
+    return vectors.Side(pa.array(rows, pa.struct([("seq", pa.int64()), ("v", pa.list_(pa.float32()))])))
+
+
+def test_large_meetings_come_in_order_and_in_fewer_bytes(monkeypatch, tmp_path):
+    """The same pairs with the same numbers, NaN and -0.0 among them; files of them are smaller."""
+    rng = np.random.default_rng(8)
+    left, right = struct_side(rng, 2100, {7}), struct_side(rng, 2000, {0, 3})
+
+    def pairs():
+        def strips():
+            for at, c in vectors.cosines(left, right, False):
+                yield at, {"cos": vectors.rounded(c), "more": vectors.rounded(c * left.seq[at, None])}
+
+        out = list(vectors.pairs_of(left, right, strips(), "cos"))
+        return {c: np.concatenate([x[c] for x in out]) for c in ("s", "t", "null", "cos", "more")}
+
+    got = pairs()
+    monkeypatch.setattr(vectors, "IN_ORDER", 1 << 30)
+    want = pairs()
+    o, p = np.lexsort((got["t"], got["s"])), np.lexsort((want["t"], want["s"]))
+    for c, x in got.items():
+        assert np.array_equal(x[o], want[c][p], equal_nan=c in ("cos", "more"))
+    assert np.array_equal(np.signbit(got["cos"][o])[~got["null"][o]], np.signbit(want["cos"][p])[~want["null"][p]])
+    assert (np.signbit(got["cos"]) & (got["cos"] == 0)).any()
+    size = []
+    for k, x in enumerate((got, want)):
+        pq.write_table(pa.table({c: x[c] for c in ("s", "t", "cos")}), f"{tmp_path}/{k}", compression="snappy")
+        size.append(os.path.getsize(f"{tmp_path}/{k}"))
+    assert size[0] < 0.8 * size[1]
+
+
 def test_durations_round_to_the_nearest_second(spark, tmp_path):
     from folioflow.operators import ledger
 
