@@ -355,6 +355,30 @@ def test_large_meetings_come_in_order_and_in_fewer_bytes(monkeypatch, tmp_path):
     assert size[0] < 0.8 * size[1]
 
 
+def test_nearest_are_carried_from_strip_to_strip(spark, tmp_path):
+    """1,024 blocks a side are more than one strip, and their margins come in order; of small whole numbers, so that there are ties."""
+    rng = np.random.default_rng(9)
+    v = rng.integers(-2, 3, (2048, 3))
+    v[400] = 0
+    spark.createDataFrame([(i, x.astype(float).tolist(), 1) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    a, b = v[0::2], v[1::2]
+    norm = np.sqrt((a * a).sum(1)[:, None] * (b * b).sum(1))
+    c = np.divide(a @ b.T, norm, out=np.zeros(norm.shape), where=norm > 0)
+    rivals = np.empty_like(c)
+    for i in range(1024):
+        for j in range(1024):
+            rivals[i, j] = max(np.delete(c[i], j).max(), np.delete(c[:, j], i).max()) if (i + j) % 37 == 0 else np.nan
+    got = np.zeros((1024, 1024))
+    frame = vectors.reciprocal_margin(spark, str(tmp_path)).toPandas()
+    assert len(frame) == 1024 * 1024 and frame["margin"].is_monotonic_increasing
+    got[frame["s"], frame["t"]] = frame["margin"]
+    some = ~np.isnan(rivals)
+    assert np.abs(got - (c - rivals))[some].max() < 1e-6
+    assert not (np.signbit(got) & (got == 0)).any()
+    row, column = c.argmax(1), c.argmax(0)
+    assert vectors.mutual_top1(spark, str(tmp_path)).first()["matched"] == sum(column[j] == i for i, j in enumerate(row))
+
+
 def test_durations_round_to_the_nearest_second(spark, tmp_path):
     from folioflow.operators import ledger
 
